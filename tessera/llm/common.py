@@ -1,58 +1,17 @@
-"""What the operators share: reading tables, words, and tables written to cut lineage."""
+"""What the operators share: words, and the tables written to cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import durable, table
+
+__all__ = ["WORD", "durable", "n_words", "table", "word_chars"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
-_made: dict[str, SparkSession] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one serves only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: short lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(_clear)
-    _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clear() -> None:
-    """Delete the written tables when the session ends; results may read them until then."""
-    for path, spark in _made.items():
-        try:
-            jvm = spark._jvm
-            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that ``durable`` wrote so far. Call it when no result that reads one is still needed."""
-    _clear()
-    _made.clear()
 
 
 def n_words(text: Column) -> Column:

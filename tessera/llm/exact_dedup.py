@@ -109,7 +109,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.xxhash64(text).alias("_h"),
     )
     # Repeated rows meet in one place only if their id is in a group, so the sort below sees small groups.
-    marked = mine.join(lost, ["_id", *_KEY], "left").where("_name IS NULL OR _name = _id")
+    # ``lost`` has no bound, so it is never broadcast: the plan is the same at every size.
+    marked = mine.join(lost.hint("merge"), ["_id", *_KEY], "left").where("_name IS NULL OR _name = _id")
     single = marked.where("_name IS NULL").select("_row.*")
     first = marked.where("_name IS NOT NULL").groupBy("_id", *_KEY).agg(F.first("_row").alias("_row")).select("_row.*")
     return single.unionByName(first)

@@ -7,7 +7,7 @@ Inverting the integrated schedule at the middle of the interval gives the traini
 range-sorted by it.
 
 Native: DataFrame functions only. The running sum inside a source is taken in two steps, over hash buckets and inside
-each bucket, so a source that holds a third of all rows is spread over ``2**bucket_bits`` groups. Only per-source totals
+each bucket, so a source that holds a third of all rows is spread over ``16**bucket_digits`` groups. Only per-source totals
 (one row for each source) meet in one window.
 
 Defined results: null text has size 0 and is never taken; null source is a source of its own, last in order; null ids
@@ -86,7 +86,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    bucket_bits: int = 12,
+    bucket_digits: int = 3,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, source, size, source_size, target, taken, takes (array of position, words).
 
@@ -97,8 +97,8 @@ def mix(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         n_words(F.col(text_col)).alias("_size"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("_order"),
-    ).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bucket_bits))
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_order"),
+    ).withColumn("_bucket", F.substring("_order", 1, bucket_digits))
     sized = durable(sized, "sized")
     buckets = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in"))
     ahead = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -118,7 +118,7 @@ def mix(
         return F.when(left * 2 >= F.col("_size"), F.col("_size")).otherwise(F.lit(0).cast("long"))
 
     def position(epoch: Column, n: Column) -> Column:
-        share = (epoch * has + start + n / 2) / F.col("_target")
+        share = (epoch * has + start + n / 2) / F.nullif(F.col("_target"), F.lit(0.0))
         out = F.lit(None).cast("double")
         for k, schedule in enumerate(schedules):
             out = F.when(F.col("_class") == k, _invert(schedule, share)).otherwise(out)
@@ -148,5 +148,7 @@ def curriculum(mixed: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with all its columns, each row once for each epoch that takes it, range-sorted by training position."""
     takes = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.explode("takes.position").alias("_position"))
-    joined = docs.join(takes.dropDuplicates(["_id", "_src", "_position"]), docs[id_col].eqNullSafe(F.col("_id")) & docs[source_col].eqNullSafe(F.col("_src")))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_k"), docs[source_col].alias("_s"))
+    takes = takes.dropDuplicates(["_id", "_src", "_position"])
+    joined = rows.join(takes, F.col("_k").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")))
+    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*")

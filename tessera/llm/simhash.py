@@ -144,4 +144,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with all its columns, of each component only the row with the smallest id (all rows if ids repeat)."""
     found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = durable(found.select(F.col(id_col).alias("_keep")).distinct(), "kept")
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    # ``keep`` has no bound, so it is never broadcast: the plan is the same at every size.
+    return docs.join(keep.hint("merge"), docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
