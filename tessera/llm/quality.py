@@ -11,8 +11,8 @@ a pre-aggregated group-by and a join with one row for each group. Quantiles come
 they are the same however rows are dealt, and no group meets in one task.
 
 Defined results: null text has no words and fails the base rules; null language or source is a value like others;
-groups with fewer than ``MIN_ROWS`` usable rows are pooled by language, then all together, and if that is still too
-few, nothing is rejected beyond the base rules; equal rows get equal verdicts; repeated rows give a row each; an empty
+groups with fewer than ``MIN_ROWS`` usable rows are judged by their language, then by all rows, and if these are still
+too few, nothing is rejected beyond the base rules; equal rows get equal verdicts; repeated rows give a row each; an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -32,7 +32,7 @@ CUTOFF = 65.0
 #: Median of a chi-square variable with as many degrees of freedom as there are statistics.
 _CHI_MEDIAN = 4.351
 #: Least standard deviation of each statistic, so that one that is constant in half the rows does not reject the rest.
-FLOOR = (0.5, 0.08, 0.35, 0.35, 0.35)
+FLOOR = (0.5, 0.08, 0.35, 0.6, 1.0)
 SYMBOLS = "#*$%&|<>"
 _P = len(FLOOR)
 _BIN = 0.02  # resolution of ln(1 + squared distance) and of the medians
@@ -66,11 +66,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     placed = F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     rows = rows.withColumn("_s", placed).drop("_h")
-    rows = rows.withColumn("_sh", F.col("_s.h")).withColumn("_si", F.col("_s.i")).drop("_s")
-    same = lambda k: F.coalesce(F.get("_sh", k) == F.get("_sh", k - 1), F.lit(False)) | F.coalesce(F.get("_sh", k) == F.get("_sh", k + 1), F.lit(False))
-    at = F.filter(F.transform("_si", lambda i, k: F.when(same(k), i)), lambda i: i.isNotNull())
-    covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
-    return rows.select(F.col("_id").alias(id_col), "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("_si").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
+    # The lambdas read the sorted array itself: a field of it (``_s.h``) would be built anew for each element.
+    at = lambda k: F.get(F.col("_s"), k)
+    equal = lambda x, k: F.coalesce(x["h"] == at(k)["h"], F.lit(False))
+    marked = F.filter(F.transform("_s", lambda x, k: F.when(equal(x, k - 1) | equal(x, k + 1), x["i"])), lambda i: i.isNotNull())
+    covered = F.size(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.array(i, i + 1, i + 2)))))
+    return rows.select(F.col("_id").alias(id_col), "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("_s").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -124,21 +125,28 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Add _group: language and source, or a pool where these have too few usable rows; null where all have."""
+    """Add _group, whose estimate judges the row, and _fits, the groups whose estimates it takes part in.
+
+    A language and source with too few usable rows is judged by its language, and a language with too few by all rows.
+    Rows take part in the wider groups only where someone is judged by them; a null _group is judged by none.
+    """
     usable = F.when(~F.col("base_failed"), 1)
     own = stats.groupBy("_lang", "_source").agg(F.count(usable).alias("_n"))
-    own = own.withColumn("_pool", F.col("_n") < MIN_ROWS)
-    by_lang = W.partitionBy("_lang", "_pool")
-    own = own.withColumn("_pooled", F.sum("_n").over(by_lang)).withColumn("_rest", F.col("_pool") & (F.col("_pooled") < MIN_ROWS))
-    own = own.withColumn("_left", F.sum("_n").over(W.partitionBy("_rest")))
-    name = F.when(~F.col("_pool"), F.xxhash64(F.lit(1), "_lang", F.lit(1), "_source")).when(~F.col("_rest"), F.xxhash64(F.lit(2), "_lang")).when(F.col("_left") >= MIN_ROWS, F.xxhash64(F.lit(3)))
-    own = own.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), name.alias("_group"))
+    own = own.withColumn("_few", F.col("_n") < MIN_ROWS)
+    lang = own.groupBy("_lang").agg(F.sum("_n").alias("_ln"), F.bool_or("_few").alias("_lang_asked"))
+    every = lang.agg(F.sum("_ln").alias("_all"), F.bool_or(F.col("_lang_asked") & (F.col("_ln") < MIN_ROWS)).alias("_all_asked"))
+    a, b, c = F.xxhash64(F.lit(1), "_lang", F.lit(1), "_source"), F.xxhash64(F.lit(2), "_lang"), F.xxhash64(F.lit(3))
+    own = own.join(lang.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).drop("_l2")
+    own = own.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one")
+    judge = F.when(~F.col("_few"), a).when(F.col("_ln") >= MIN_ROWS, b).when(F.col("_all") >= MIN_ROWS, c)
+    fits = F.array_compact(F.array(F.when(~F.col("_few"), a), F.when(F.col("_lang_asked") & (F.col("_ln") >= MIN_ROWS), b), F.when(F.col("_all_asked"), c)))
+    own = own.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), judge.alias("_group"), fits.alias("_fits"))
     return stats.join(own, stats["_lang"].eqNullSafe(own["_l"]) & stats["_source"].eqNullSafe(own["_s"]), "left").drop("_l", "_s")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """One row for each _group: centre m_i, factor l_i_j of its covariance, _scale."""
-    rows = rows.where("_group IS NOT NULL AND NOT base_failed")
+    rows = rows.where("NOT base_failed").select(F.explode("_fits").alias("_group"), *[f"x{i}" for i in range(_P)])
     centre = None
     for i in range(_P):
         m = _quantile(rows, F.col(f"x{i}"), 0.5, f"m{i}")
