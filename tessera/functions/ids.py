@@ -124,7 +124,7 @@ def acronym(name: Column) -> Column:
 def name_variants(name: Column) -> Column:
     """The name without what is in parentheses, then each of these."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"\s+", " "))
-    inner = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x))
     return F.filter(F.concat(F.array(bare), inner), lambda v: F.length(v) > 0)
 
 

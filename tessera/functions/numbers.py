@@ -70,7 +70,8 @@ def retry_after(header: Column, now: Column, most: float = 120.0) -> Column:
     """Seconds to wait, from seconds or a date."""
     seconds = F.when(header.rlike(r"^\d+(\.\d+)?$"), header.cast("double"))
     date = (F.unix_millis(F.try_to_timestamp(F.regexp_replace(header, r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))) - F.unix_millis(now.cast("timestamp"))) / 1000
-    return F.least(F.lit(most), F.greatest(F.lit(0.0), F.coalesce(seconds, date)))
+    wait = F.coalesce(seconds, date)
+    return F.when(wait.isNotNull(), F.least(F.lit(most), F.greatest(F.lit(0.0), wait)))
 
 
 def backoff(attempt: Column, base: float, jitter: Column) -> Column:

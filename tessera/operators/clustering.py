@@ -330,4 +330,4 @@ def match_clusters(base: DataFrame, current: DataFrame) -> DataFrame:
         found = pd.DataFrame(match(part[part["side"] == "p"].astype({"bas": "Int64"}), size("b"), size("c")))
         return found.astype({"cluster": "Int64", "base_cluster": "Int64"})
 
-    return pairs.union(sizes).groupBy(F.lit(0)).applyInPandas(run, "cluster int, base_cluster int, change string, base_clusters array<int>, size_before int, size_after int")
+    return pairs.union(sizes).groupBy(F.lit("all")).applyInPandas(run, "cluster int, base_cluster int, change string, base_clusters array<int>, size_before int, size_after int")

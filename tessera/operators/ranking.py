@@ -111,9 +111,14 @@ def rerank(pool: DataFrame, scorer: Callable[[Column, Column], Column] | None, q
     return rows.join(fresh, "id", "left").withColumn("rerank", F.when(F.col("_top"), F.coalesce("_old", "_new"))).drop("_top", "_old", "_new")
 
 
+def log_cites(cites: Column) -> Column:
+    """ln(1 + citations), null where these are unknown."""
+    return F.when(cites.isNotNull(), F.log1p(F.greatest(F.lit(0), cites)))
+
+
 def influence_prior(rows: DataFrame, now: Column, cites: str = "cites", published: str = "published_at") -> DataFrame:
     """Add prior: percentiles of log citations and velocity; null where citations are unknown."""
-    rows = rows.withColumn("_lc", F.log1p(F.greatest(F.lit(0), F.col(cites)))).withColumn("_vel", numbers.velocity(F.col(cites), F.col(published), now))
+    rows = rows.withColumn("_lc", log_cites(F.col(cites))).withColumn("_vel", numbers.velocity(F.col(cites), F.col(published), now))
     rows = percentile_rank(percentile_rank(rows, "_lc", "_pc"), "_vel", "_pv")
     prior = (PRIOR["citations"] * F.col("_pc") + PRIOR["velocity"] * F.col("_pv")) / sum(PRIOR.values())
     return rows.withColumn("prior", F.when(F.col(cites).isNotNull(), prior)).drop("_lc", "_vel", "_pc", "_pv")
@@ -128,7 +133,7 @@ def influence(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     A signal that no row has drops out and the other weights are scaled up.
     """
-    signals = {"citations": F.log1p(F.greatest(F.lit(0), F.col("cites"))), "velocity": F.col("velocity"), "influential": F.col("influential"), "pagerank": F.col("pagerank"), "h_index": F.col("h_index")}
+    signals = {"citations": log_cites(F.col("cites")), "velocity": F.col("velocity"), "influential": F.col("influential"), "pagerank": F.col("pagerank"), "h_index": F.col("h_index")}
     rows = rows.withColumns({f"_s_{n}": s.cast("double") for n, s in signals.items()})
     seen = rows.groupBy(*keys).agg(*[F.bool_or(numbers.known(F.col(f"_s_{n}"))).alias(f"_has_{n}") for n in signals])
     for n in signals:
@@ -145,7 +150,7 @@ def game_changers(rows: DataFrame, count: int = 8) -> DataFrame:
     """id, score of the best ``count`` rows with at least median citations, by PageRank and velocity percentiles."""
     has = rows.agg(F.bool_or(numbers.known(F.col("pagerank"))).alias("_any"), F.median(F.coalesce("cites", F.lit(0))).alias("_median"))
     rows = rows.join(F.broadcast(has))  # one row
-    rows = rows.withColumn("_pr", F.when(F.col("_any"), F.col("pagerank").cast("double")).otherwise(F.log1p(F.greatest(F.lit(0), F.col("cites")))))
+    rows = rows.withColumn("_pr", F.when(F.col("_any"), F.col("pagerank").cast("double")).otherwise(log_cites(F.col("cites"))))
     rows = percentile_rank(percentile_rank(rows, "_pr", "_ppr"), "velocity", "_pv")
     rows = rows.where(F.coalesce("cites", F.lit(0)) >= F.col("_median"))
     return rows.select("id", (0.5 * F.col("_ppr") + 0.5 * F.col("_pv")).alias("score")).orderBy(F.desc("score"), "id").limit(count)

@@ -131,4 +131,4 @@ def round_robin(lists: DataFrame, list_col: str, rank_col: str, id_col: str, cap
                     out.append(q.pop(0))
         return pd.DataFrame({"position": range(1, len(out) + 1), id_col: out})
 
-    return bounded.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return bounded.groupBy(F.lit("all")).applyInPandas(run, schema)

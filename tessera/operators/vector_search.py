@@ -46,11 +46,11 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vec_col
     n = max(1, -(-base.count() // block_rows))
     base = base.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumn("_o", others).withColumn("_pair", F.struct("_b", "_o")).select(F.col("_b").alias("i"), F.col("_o").alias("j"), "id", "v")
-    right = base.withColumn("_o", others).select(F.col("_o").alias("i"), F.col("_b").alias("j"), "id", "v")
+    left = base.withColumn("_o", others).select(F.col("_b").alias("i"), F.col("_o").alias("j"), "id", "v")
+    right = base.withColumn("_o", others).select(F.col("_o").alias("i"), F.col("_b").alias("j"), F.col("id").alias("other"), F.col("v").alias("w"))
 
-    def unit(part: pd.DataFrame) -> np.ndarray:
-        m = np.array(part["v"].tolist(), dtype=float)
+    def unit(part: pd.Series) -> np.ndarray:
+        m = np.array(part.tolist(), dtype=float)
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
@@ -58,9 +58,9 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vec_col
         empty = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "cosine": pd.Series(dtype=float)})
         if a.empty or b.empty:
             return empty
-        x, y = unit(a), unit(b)
+        x, y = unit(a["v"]), unit(b["w"])
         out = []
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+        ia, ib = a["id"].to_numpy(), b["other"].to_numpy()
         for at in range(0, len(x), 512):
             c = x[at : at + 512] @ y.T
             p, q = np.nonzero(c >= threshold)

@@ -30,7 +30,7 @@ def upsert_resolve(spark, d):
 
 
 @query("id_components", f"""WITH RECURSIVE {_RECORDS}, l AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id <> b.id AND a.s2_id = b.s2_id WHERE a.id <= 400 AND b.id <= 400 UNION SELECT a.id, b.id FROM r a JOIN r b ON a.id <> b.id AND a.doi = b.doi WHERE a.id <= 400 AND b.id <= 400),
-    reach(id, at) AS (SELECT id, id FROM r WHERE id <= 400 UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.at) SELECT id, min(at) AS keeper FROM reach GROUP BY id""")
+    reach(id, cur) AS (SELECT id, id FROM r WHERE id <= 400 UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.cur) SELECT id, min(cur) AS keeper FROM reach GROUP BY id""")
 def id_components(spark, d):
     """JOI-08, DML-01: what external ids connect."""
     r = _records(spark, d).where("id <= 400")
@@ -43,21 +43,21 @@ def fuzzy_title_join(spark, d):
     return entities.title_links(_records(spark, d))
 
 
-@query("duplicate_fold", f"""WITH {_RECORDS} SELECT (id - 1) // 4 AS keeper, arg_min(s2_id, id) FILTER (WHERE s2_id IS NOT NULL) AS s2_id, arg_min(doi, id) FILTER (WHERE doi IS NOT NULL) AS doi, max(cites) AS cites, count(*) AS merged FROM r GROUP BY 1""")
+@query("duplicate_fold", f"""WITH {_RECORDS} SELECT id // 4 AS keeper, arg_min(s2_id, id) FILTER (WHERE s2_id IS NOT NULL) AS s2_id, arg_min(doi, id) FILTER (WHERE doi IS NOT NULL) AS doi, max(cites) AS cites, count(*) AS merged FROM r GROUP BY 1""")
 def duplicate_fold(spark, d):
     """AGG-11, DML-02: first given value, highest metric."""
     r = _records(spark, d)
-    m = entities.merge_records(r, r.select("id", F.floor((F.col("id") - 1) / 4).alias("keeper")))
+    m = entities.merge_records(r, r.select("id", F.floor(F.col("id") / 4).alias("keeper")))
     return m.select("keeper", "s2_id", "doi", "cites", "merged")
 
 
-@query("merge_repoint", """WITH c AS (SELECT (l_partkey - 1) // 4 AS citing, (l_suppkey - 1) // 4 AS cited, l_returnflag = 'R' AS f FROM lineitem) SELECT citing, cited, bool_or(f) AS influential FROM c WHERE citing <> cited GROUP BY 1, 2""")
+@query("merge_repoint", """WITH c AS (SELECT l_partkey // 4 AS citing, l_suppkey // 4 AS cited, l_returnflag = 'R' AS f FROM lineitem) SELECT citing, cited, bool_or(f) AS influential FROM c WHERE citing <> cited GROUP BY 1, 2""")
 def merge_repoint(spark, d):
     """DML-03: edges move to the keepers, loops go, flags are kept."""
     line = table(spark, d, "lineitem")
     ids = line.select(F.explode(F.array("l_partkey", "l_suppkey")).alias("id")).distinct()
     e = line.select(F.col("l_partkey").alias("citing"), F.col("l_suppkey").alias("cited"), (F.col("l_returnflag") == "R").alias("influential"))
-    return entities.repoint_edges(e, ids.withColumn("keeper", F.floor((F.col("id") - 1) / 4)))
+    return entities.repoint_edges(e, ids.withColumn("keeper", F.floor(F.col("id") / 4)))
 
 
 @query("logged_lookup", """SELECT page_id AS id, (SELECT min(p.page_id) FROM pages p WHERE regexp_replace(regexp_replace(p.url, '^https?://(www\\.)?', ''), '([?#].*|/+)$', '') = regexp_replace(regexp_replace(q.url, '^https?://(www\\.)?', ''), '([?#].*|/+)$', '')) AS entry_id FROM pages q""".replace("\\\\", "\\"))

@@ -37,7 +37,7 @@ def stale_sweep(spark, d):
     return jobs.stale(_events(spark, d), F.lit("2024-01-31 00:00:00").cast("timestamp"), seconds=43200)
 
 
-@query("rolling_hour_cap", "SELECT event_id, ts, n AS in_hour FROM (SELECT event_id, ts, count(*) OVER (ORDER BY epoch_ms(ts) RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 20")
+@query("rolling_hour_cap", "SELECT event_id, ts, n AS in_hour FROM (SELECT event_id, ts, count(*) OVER (ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 20")
 def rolling_hour_cap(spark, d):
     """STR-04."""
     return jobs.over_hourly_cap(table(spark, d, "events"))
@@ -57,7 +57,7 @@ def breaker_trips(spark, d):
     return jobs.breaker_trips(c)
 
 
-@query("host_spacing", "WITH e AS (SELECT event_id, event_type AS host, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, ts FROM events) SELECT event_id, host, CAST(max(t - n * 3100) OVER (PARTITION BY host ORDER BY ts, event_id) + n * 3100 AS BIGINT) AS start_ms FROM e")
+@query("host_spacing", "WITH e AS (SELECT event_id, event_type AS host, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, ts FROM events) SELECT event_id, host, CAST(max(t - n * 3100) OVER (PARTITION BY host ORDER BY ts, event_id) + n * 3100 AS BIGINT) AS start_ms FROM e")
 def host_spacing(spark, d):
     """STR-07, SRC-23: earliest start of each request under a minimum spacing."""
     return jobs.spacing(table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("host")), 3100)

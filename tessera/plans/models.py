@@ -155,7 +155,7 @@ def list_coercion(spark, d):
     """STR-F26: lists that come as JSON text or as delimited text."""
     k = F.col("event_id")
     raw = F.when(k % 2 == 0, '["a", "b c"]').otherwise(" x; y ;")
-    parts = F.filter(F.transform(F.split(raw, r"[;\n]"), F.trim), lambda x: F.length(x) > 0)
+    parts = F.filter(F.transform(F.split(raw, r"[;\n]"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return table(spark, d, "events").select(k.alias("id"), F.coalesce(F.from_json(raw, "array<string>"), parts).alias("items"))
 
 

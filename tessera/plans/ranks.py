@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -92,7 +93,6 @@ def cosine_pairs(spark, d):
 def nearest_top3(spark, d):
     """TOP-02: a stated set of queries (every fiftieth row) against all rows."""
     import numpy as np
-    import pandas as pd
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = e.where("id % 50 = 0").orderBy("id").collect()
@@ -121,7 +121,7 @@ def max_cosine_refs(spark, d):
     return vector_search.max_cosine(e, e.where("id < 5")).select("id", six("cosine").alias("cosine"))
 
 
-_PRIOR = f"""{PAPERS_SQL}, v AS (SELECT *, ln(1 + greatest(0, cites)) AS lc, {VELOCITY_SQL} AS vel FROM papers),
+_PRIOR = f"""{PAPERS_SQL}, v AS (SELECT *, CASE WHEN cites IS NOT NULL THEN ln(1 + greatest(0, cites)) END AS lc, {VELOCITY_SQL} AS vel FROM papers),
     r AS (SELECT *, CASE WHEN lc IS NULL THEN 0 ELSE (rank() OVER (ORDER BY lc NULLS LAST) - 1 + (count(*) OVER (PARTITION BY lc) - 1) / 2.0) / (count(lc) OVER () - 1) END AS pc,
         CASE WHEN vel IS NULL THEN 0 ELSE (rank() OVER (ORDER BY vel NULLS LAST) - 1 + (count(*) OVER (PARTITION BY vel) - 1) / 2.0) / (count(vel) OVER () - 1) END AS pv FROM v)"""
 
@@ -142,7 +142,7 @@ def selection_score(spark, d):
 _PCT = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) - 1 + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / (count({c}) OVER () - 1) END"
 
 
-@query("influence", f"""WITH {PAPERS_SQL}, v AS (SELECT *, ln(1 + greatest(0, cites)) AS lc, {VELOCITY_SQL} AS vel FROM papers),
+@query("influence", f"""WITH {PAPERS_SQL}, v AS (SELECT *, CASE WHEN cites IS NOT NULL THEN ln(1 + greatest(0, cites)) END AS lc, {VELOCITY_SQL} AS vel FROM papers),
     r AS (SELECT id, {_PCT('lc')} AS a, {_PCT('vel')} AS b, {_PCT('influential')} AS c, {_PCT('h_index')} AS e FROM v) SELECT id, round(greatest(0, least(1, (0.3 * a + 0.25 * b + 0.15 * c + 0.1 * e) / 0.8)), 6) AS influence FROM r""")
 def influence(spark, d):
     """GRF-02: the PageRank signal is null for all rows and drops out."""
@@ -152,7 +152,7 @@ def influence(spark, d):
     return ranking.influence(p).select("id", six("influence").alias("influence"))
 
 
-@query("game_changers", f"""WITH {PAPERS_SQL}, v AS (SELECT *, ln(1 + greatest(0, cites)) AS lc, {VELOCITY_SQL} AS vel FROM papers),
+@query("game_changers", f"""WITH {PAPERS_SQL}, v AS (SELECT *, CASE WHEN cites IS NOT NULL THEN ln(1 + greatest(0, cites)) END AS lc, {VELOCITY_SQL} AS vel FROM papers),
     r AS (SELECT id, coalesce(cites, 0) AS c, {_PCT('lc')} AS a, {_PCT('vel')} AS b FROM v) SELECT id, round(0.5 * a + 0.5 * b, 6) AS score FROM r WHERE c >= (SELECT median(c) FROM r) ORDER BY 0.5 * a + 0.5 * b DESC, id LIMIT 8""")
 def game_changers(spark, d):
     """TOP-05, GRF-03, GRF-07: without PageRank, log citations stand in."""
@@ -198,8 +198,6 @@ def rerank_fallback(spark, d):
 @query("rerank_reuse", "SELECT vec_id AS id, round(CASE WHEN vec_id < 150 THEN CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 1 / (1 + exp(-((vec_id % 10) - 5) / 2.0)) END END, 6) AS rerank FROM embeddings")
 def rerank_reuse(spark, d):
     """RNK-04 with a scorer: scores of an earlier run are kept where the query's hash is equal."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scorer(q: pd.Series, t: pd.Series) -> pd.Series:
         return t.astype(float)

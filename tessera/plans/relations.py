@@ -236,8 +236,8 @@ def external_id_or_join(spark, d):
     return rel.join_on_any(a, b, ["k1", "k2"], "lid", "rid")
 
 
-@query("ancestor_walk", """WITH RECURSIVE up(id, hop, at) AS (SELECT p_partkey, 0, p_partkey FROM part WHERE p_partkey <= 64 UNION ALL SELECT id, hop + 1, at // 2 FROM up WHERE at > 1 AND hop < 20)
-    SELECT id, max(hop) AS hops, CAST(max(at) FILTER (WHERE at % 5 = 0) AS BIGINT) AS nearest FROM up GROUP BY id""")
+@query("ancestor_walk", """WITH RECURSIVE up(id, hop, cur) AS (SELECT p_partkey, 0, p_partkey FROM part WHERE p_partkey <= 64 UNION ALL SELECT id, hop + 1, cur // 2 FROM up WHERE cur > 1 AND hop < 20)
+    SELECT id, CAST(max(hop) AS BIGINT) AS hops, CAST(max(cur) FILTER (WHERE cur % 5 = 0) AS BIGINT) AS nearest FROM up GROUP BY id""")
 def ancestor_walk(spark, d):
     """JOI-15: a parent key followed up to twenty hops."""
     table(spark, d, "part").where("p_partkey <= 64").createOrReplaceTempView("_ancestor_start")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, text
@@ -244,7 +245,7 @@ def partial_dates(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), numbers.partial_date(s).cast("timestamp_ntz").alias("ts"))
 
 
-@query("retry_wait", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN least(120.0, event_id % 200) WHEN 1 THEN 90.0 ELSE NULL END AS wait, round(2 * 1000 * pow(2, event_id % 4) + value, 4) AS backoff FROM events")
+@query("retry_wait", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN CAST(least(120, event_id % 200) AS DOUBLE) WHEN 1 THEN 90.0::DOUBLE ELSE NULL END AS wait, round(2 * 1000 * pow(2, event_id % 4) + value, 4) AS backoff FROM events")
 def retry_wait(spark, d):
     """DAT-06, MTH-08."""
     k = F.col("event_id")
@@ -259,7 +260,7 @@ def calibrate_sigmoid(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), six(numbers.logit_relevance(v / 10)).alias("logit"), six(numbers.cosine_relevance(v / 100)).alias("cosine"))
 
 
-@query("logs_and_colors", f"WITH {PAPERS_SQL} SELECT id, round(ln(1 + greatest(0, cites)), 6) AS lc, CAST(((id - 50) % 10 + 10) % 10 + 1 AS BIGINT) AS color FROM papers")
+@query("logs_and_colors", f"WITH {PAPERS_SQL} SELECT id, round(CASE WHEN cites IS NOT NULL THEN ln(1 + greatest(0, cites)) END, 6) AS lc, CAST(((id - 50) % 10 + 10) % 10 + 1 AS BIGINT) AS color FROM papers")
 def logs_and_colors(spark, d):
     """MTH-02, MTH-05."""
     return papers(spark, d).select("id", six(F.when(F.col("cites").isNotNull(), F.log1p(F.greatest(F.lit(0), F.col("cites"))))).alias("lc"), numbers.true_modulo_color(F.col("id") - 50).alias("color"))
@@ -331,8 +332,6 @@ def search_relaxed(spark, d):
 @query("boolean_queries")
 def boolean_queries(spark, d):
     """SRC-09, SRC-10: planned queries are well formed."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def plan(s: pd.Series) -> pd.Series:
         return s.map(lambda x: web.plan_query(x, categories=["cs.LG"])[0])

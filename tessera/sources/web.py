@@ -159,7 +159,7 @@ def html_article_text(html: Column) -> Column:
 
 
 def split_authors(meta: Column) -> Column:
-    parts = F.transform(F.split(meta, r"\s*(?:,| and |&)\s*"), F.trim)
+    parts = F.transform(F.split(meta, r"\s*(?:,| and |&)\s*"), lambda x: F.trim(x))
     return F.filter(parts, lambda a: (F.length(a) > 1) & ~a.rlike("(?i)^https?:"))
 
 
@@ -182,7 +182,7 @@ def looks_like_pdf(data: Column) -> Column:
 
 def title_line(t: Column) -> Column:
     """The first line of 12 to 200 characters."""
-    return F.get(F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: F.length(x).between(12, 200)), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(12, 200)), F.lit(0))
 
 
 # Headings of a paper's sections, by kind.

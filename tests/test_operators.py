@@ -38,7 +38,7 @@ def selection_rows(spark, *data):
     schema = "search_id int, id string, rerank double, rrf double, cites int, published_at timestamp, embedding array<double>, title string, pos int"
     base = {"rerank": None, "rrf": 0.0, "cites": None, "published_at": None, "embedding": None, "title": None}
     full = [base | d | {"search_id": 1, "pos": i} for i, d in enumerate(data)]
-    return spark.createDataFrame([tuple(pd.Timestamp(d[c]) if c == "published_at" and d[c] else d[c] for c in ("search_id", "id", "rerank", "rrf", "cites", "published_at", "embedding", "title", "pos")) for d in full], schema)
+    return spark.createDataFrame([tuple(pd.Timestamp(d[c]).to_pydatetime() if c == "published_at" and d[c] else d[c] for c in ("search_id", "id", "rerank", "rrf", "cites", "published_at", "embedding", "title", "pos")) for d in full], schema)
 
 
 def picked(df, **slots):

@@ -1,5 +1,7 @@
 """Streams over files that arrive in order, so watermarks move between batches."""
 
+import time
+
 import pandas as pd
 import pytest
 
@@ -13,9 +15,6 @@ def arriving(spark, tmp_path):
     def make(batches, schema):
         for i, rows in enumerate(batches):
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            pd.Timestamp.now()
-            import time
-
             time.sleep(1.1 if i < len(batches) - 1 else 0)
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
@@ -23,7 +22,7 @@ def arriving(spark, tmp_path):
 
 
 def at(minute):
-    return pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minute)
+    return (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minute)).to_pydatetime()
 
 
 def test_late_rows_and_windows(spark, arriving):
