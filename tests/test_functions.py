@@ -72,7 +72,8 @@ def test_acronyms(spark, a, b, want):
 def test_text_cleaning(spark):
     assert one(spark, text.strip_tags(F.lit("if x < y then <b>bold</b> and a <div"))) == "if x < y then bold and a "
     assert one(spark, text.clean_text(F.lit("&amp;lt;b&amp;gt;a&lt;/b&gt; &#65;&#x42; x &lt; y"))) == "a AB x < y"
-    assert one(spark, text.clip(F.lit("one two three four"), 12)) == "one two…"
+    assert one(spark, text.clip(F.lit("one two three four"), 12)) == "one two thr…"
+    assert one(spark, text.clip(F.lit("one twos three four"), 12)) == "one twos…"
     assert one(spark, text.tldr(F.lit(" "), F.lit("a " * 300))).endswith("…")
     assert one(spark, text.surname(F.lit("John Smith Jr."))) == "Smith"
     assert one(spark, text.citation_label(F.array(F.lit("Smith, J"), F.lit("B")), F.lit(2023), F.lit("t"))) == "Smith et al. 2023"

@@ -26,7 +26,7 @@ def at(minute):
 
 
 def test_late_rows_and_windows(spark, arriving):
-    s = arriving([[(1, at(5)), (2, at(50))], [(3, at(200))], [(4, at(6)), (5, at(201))]], "event_id long, ts timestamp")
+    s = arriving([[(1, at(5)), (2, at(50))], [(3, at(200))], [(6, at(201))], [(4, at(6)), (5, at(202))]], "event_id long, ts timestamp")
     got = jobs.run_available(jobs.windowed_counts(s, "1 hour", "10 minutes"), "late", "append").collect()
     assert {(r["start"].hour, r["n"]) for r in got} == {(0, 2)}  # event 4 comes after its window closed
 
