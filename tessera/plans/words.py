@@ -133,7 +133,7 @@ def strip_tags(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.sha2(text.strip_tags(F.col("html")), 256).alias("digest"))
 
 
-@query("html_article", r"""SELECT page_id AS id, sha256(trim(regexp_replace(replace(regexp_replace(regexp_extract(regexp_replace(html, '<nav>.*?</nav>|<!--.*?-->', ' ', 'gs'), '<article>(.*)</article>', 1, 's'), '<[^>]+>', ' ', 'gs'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages""")
+@query("html_article", r"""SELECT page_id AS id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(regexp_replace(html, '<nav>.*?</nav>|<!--.*?-->', ' ', 'gs'), '<article>(.*)</article>', 1, 's'), '<[^>]+>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages""")
 def html_article(spark, d):
     """SRC-25: text of the article (an approximation of readability)."""
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.sha2(web.html_article_text(F.col("html")), 256).alias("digest"))
