@@ -139,10 +139,14 @@ def mix(
     )
 
 
-def curriculum(mixed: DataFrame) -> DataFrame:
-    """What ``mix`` returns, with the first training position, range-sorted by it (untaken documents last)."""
+def curriculum(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What ``mix`` returns, with the first training position, range-sorted by it (untaken documents last).
+
+    The id's hash breaks ties, so that the untaken documents, which share a position, are spread over the ranges too.
+    """
     first = F.coalesce(F.get("takes.position", F.lit(0)), F.lit(float("inf")))
-    return mixed.withColumn("position", first).repartitionByRange("position").sortWithinPartitions("position")
+    placed, tie = mixed.withColumn("position", first), F.xxhash64(id_col)
+    return placed.repartitionByRange("position", tie).sortWithinPartitions("position", tie)
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
