@@ -141,6 +141,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
     judge = F.when(~F.col("_few"), a).when(F.col("_ln") >= MIN_ROWS, b).when(F.col("_all") >= MIN_ROWS, c)
     fits = F.array_compact(F.array(F.when(~F.col("_few"), a), F.when(F.col("_lang_asked") & (F.col("_ln") >= MIN_ROWS), b), F.when(F.col("_all_asked"), c)))
     own = own.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), judge.alias("_group"), fits.alias("_fits"))
+    own = durable(own, "groups")
     return stats.join(own, stats["_lang"].eqNullSafe(own["_l"]) & stats["_source"].eqNullSafe(own["_s"]), "left").drop("_l", "_s")
 
 
@@ -162,7 +163,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     params = durable(_cholesky(params), "start")
     for step in range(STEPS):
         far = _distance(rows.join(params, "_group"))
-        cut = _quantile(far, F.log1p("_d"), SUBSET, "_cut")
+        # One row for each group, of a size that Spark can measure: the rows are not dealt by group to meet it.
+        cut = durable(_quantile(far, F.log1p("_d"), SUBSET, "_cut"), f"cut{step}")
         inner = far.select("_group", "_d", *[f"x{i}" for i in range(_P)]).join(cut, "_group").where(F.log1p("_d") <= F.col("_cut"))
         params = durable(_cholesky(_moments(inner)), f"step{step}")
     scale = _quantile(_distance(rows.join(params, "_group")), F.log1p("_d"), 0.5, "_median")
