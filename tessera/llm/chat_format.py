@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 MARK = "\ue000"
@@ -90,7 +92,7 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
             places = [[dict(zip(names, s, strict=True)) for s in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array(places, kind), pa.array([g[2] for g in got])], names=["conv_id", "formatted", "spans", "rewrites_history"])
 
-    return grouped.mapInArrow(run, SCHEMA)
+    return map_arrow(grouped, run, SCHEMA)
 
 
 def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -108,7 +110,7 @@ def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted.select("conv_id", "formatted", "spans"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:

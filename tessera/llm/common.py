@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import durable, table
 
-__all__ = ["WORD", "durable", "n_words", "table", "word_chars"]
+__all__ = ["WORD", "durable", "map_arrow", "n_words", "table", "word_chars"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows in an Arrow batch, where the session has Spark's default: whole texts are long, and workers keep what a batch took.
+BATCH_ROWS = 500
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches that bound a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
 
 def n_words(text: Column) -> Column:
     """Number of words; null and empty texts have none."""

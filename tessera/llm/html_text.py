@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>",
@@ -243,4 +245,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_html").schema)
-    return rows.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return map_arrow(rows, run, f"{fields}, text string, n_chars long")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 DIM = 4096
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 256
@@ -129,7 +131,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
             packed = [np.minimum(got[i], 2**32 - 1).astype(np.uint32).tobytes() for i in keep]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], names=["lang", "n"])
 
-    got = sorted((r["lang"], bytes(r["n"])) for r in rows.mapInArrow(run, "lang string, n binary").toLocalIterator())
+    got = sorted((r["lang"], bytes(r["n"])) for r in map_arrow(rows, run, "lang string, n binary").toLocalIterator())
     if not got:
         return Model([], np.ones(dim), np.zeros((0, dim)))
     langs = np.array([g[0] for g in got], dtype=object)
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, model: Model, *keep: Column, text_col: str = "text
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    return rows.mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double, rejected boolean")
+    return map_arrow(rows, run, f"{fields + ', ' if fields else ''}lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> tuple[Column, Column]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MIN_COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -191,4 +193,4 @@ def scan_documents(docs: DataFrame, min_coverage: float = MIN_COVERAGE, id_col:
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "license", "coverage", "n_notices", "notices"])
 
     schema = f"`{id_col}` long, license string, coverage double, n_notices long, notices array<struct<license:string,coverage:double,start:long,end:long>>"
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, schema)

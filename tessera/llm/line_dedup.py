@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, map_arrow
 
 MIN_WORDS = 5
 _LINES = re.compile(r"[^\n]+")
@@ -51,7 +51,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
-    found = durable(rows.mapInArrow(run, "_id long, _h long, _start long, _end long, _digest binary"), "units")
+    found = durable(map_arrow(rows, run, "_id long, _h long, _start long, _end long, _digest binary"), "units")
     place = F.struct("_id", "_h", "_start")
     first = found.groupBy("_digest").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     lost = found.join(durable(first, "first"), "_digest").where(~place.eqNullSafe(F.col("_first")))
@@ -80,6 +80,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], names=[id_col, "text", "removed"])
 
-    kept = j.select(F.col("_id").alias(id_col), text.alias("text"), removed.alias("removed")).mapInArrow(cut, f"`{id_col}` long, text string, removed array<struct<start:bigint,end:bigint>>")
+    kept = map_arrow(j.select(F.col("_id").alias(id_col), text.alias("text"), removed.alias("removed")), cut, f"`{id_col}` long, text string, removed array<struct<start:bigint,end:bigint>>")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return kept.select(id_col, "text", "removed", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, map_arrow
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(x.as_py(), k) for x in b.column(1)), dtype=np.uint64, count=b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["_id", "_fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, "_id long, _fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")), run, "_id long, _fp long")
 
 
 def _block(x, i: int):
