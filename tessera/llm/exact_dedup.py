@@ -39,8 +39,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _repeated(rows: DataFrame, by: list[str], level: int) -> DataFrame:
     """Names of what occurs more than once: the largest id, and how many rows have it."""
-    named = rows.groupBy(*_KEY, "_pos", *by).agg(F.max("_id").alias("_name"), F.sum("_rows").alias("_size"), F.count(F.lit(1)).alias("_times"))
-    return durable(named.where("_times > 1").drop("_times"), f"names{level}")
+    named = rows.groupBy(*_KEY, "_pos", *by).agg(F.max("_id").alias("_name"), F.sum("_rows").alias("_size"))
+    return durable(named.where("_size > 1"), f"names{level}")
 
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
