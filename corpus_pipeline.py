@@ -13,8 +13,8 @@ from tessera.llm.common import durable, table
 from tessera.llm.exact_dedup import drop_exact_duplicates
 from tessera.llm.language_id import keep_identified
 from tessera.llm.mixing import mix, repeat_documents
+from tessera.llm.near_copies import drop_near_duplicates
 from tessera.llm.packing import pack
-from tessera.llm.simhash import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
