@@ -114,17 +114,6 @@ def test_links_of_close_fingerprints(spark, small_group):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, brute.values()))
 
 
-def test_lines(spark):
-    line = "a passage that stands in several documents of this table"
-    rows = [(2, f"own words first\n{line}\nand own words last", "en", "a"), (1, f"{line.upper()}\nx", "en", "a"), (3, f"  {line}  \n\n{line}", None, None), (4, None, None, None), (5, "", "en", "a"), (6, "unlike the other lines here", "en", "a")]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
-    assert got[1]["n_removed"] == 0 and got[4]["text"] is None and got[5]["text"] == "" and got[6]["n_removed"] == 0
-    assert got[2]["text"] == "own words first\nand own words last" and got[3]["n_removed"] == 2 and got[3]["text"].strip() == ""
-    for r in got.values():
-        text = dict((x[0], x[1]) for x in rows)[r["doc_id"]]
-        assert all(" ".join(text[s["start"] : s["end"]].lower().split()) == line for s in r["removed"])
-
-
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
