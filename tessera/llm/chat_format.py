@@ -3,7 +3,8 @@
 A template is any function from a list of (role, text) turns to a string. It is called on each prefix of a conversation;
 where the next output begins with the one before, what was added is the new turn's span. A template that changes what it
 wrote earlier is detected. Inside a span the text is found by rendering the turn once more with a mark in its place, so
-the loss mask covers the assistant's words and no control string.
+the loss mask covers the assistant's words and no control string. The mark is a character that the conversation does not
+hold. After a rewrite the spans found before no longer fit the output; they are given, but ``digests`` refuses such rows.
 
 The default template escapes control characters inside texts, so ``read_back`` recovers every turn from the output.
 
@@ -29,7 +30,6 @@ from .common import map_arrow
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
-MARK = "\ue000"
 _ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<s>((?:[^\\<]|\\.)*)\n\[TEXT\]((?:[^\\<]|\\.)*)</s>\n", re.S)
@@ -64,15 +64,17 @@ def read_back(formatted: str) -> list[Turn]:
 def spans(turns: Sequence[Turn], template: Template = default_template) -> tuple[str, list[tuple[str, int, int, int, int]], bool]:
     """(output, (role, start, end, start and end of the text) of each turn, whether the template rewrote history)."""
     before, found, rewrites = template([]), [], False
+    used = "".join(role + text for role, text in turns) + template(turns)
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in used)
     for k, (role, text) in enumerate(turns, 1):
         now = template(turns[:k])
         start = len(before)
         if not now.startswith(before):
             rewrites = True
             start = next((i for i, (a, b) in enumerate(zip(before, now, strict=False)) if a != b), min(len(before), len(now)))
-        marked = template([*turns[: k - 1], (role, MARK)])
-        head = marked.find(MARK, start)
-        tail = len(marked) - head - len(MARK)
+        marked = template([*turns[: k - 1], (role, mark)])
+        head = marked.find(mark, start)
+        tail = len(marked) - head - len(mark)
         found.append((role, start, len(now), head, len(now) - tail) if head >= 0 else (role, start, len(now), start, start))
         before = now
     return before, found, rewrites
@@ -101,7 +103,9 @@ def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, places, rewrites in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if rewrites:
+                    raise ValueError("the template rewrote history: its earlier spans do not fit the output")
                 turns = read_back(text)
                 loss = "".join(unescape(text[p["text_start"] : p["text_end"]]) for p in places if p["role"] in loss_roles)
                 whole = "".join(f"{role}\n{said}\n" for role, said in turns)
@@ -110,7 +114,7 @@ def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return map_arrow(formatted.select("conv_id", "formatted", "spans"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted.select("conv_id", "formatted", "spans", "rewrites_history"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:

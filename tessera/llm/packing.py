@@ -81,9 +81,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_L
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(F.col(cluster_col)) if cluster_col else F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
     sized = docs.select(F.col(id_col).cast("long").alias("_id"), n_words(text).alias("_words"), F.coalesce(F.xxhash64(F.col(source_col).cast("string")), F.lit(0)).alias("_source"), cluster.alias("_cluster"))
-    sized = durable(sized, "sized")
+    # Rows without an id are told apart by a number, lest those of one text meet in one shard; once written, it stays.
+    sized = durable(sized.withColumn("_salt", F.when(F.col("_id").isNull(), F.monotonically_increasing_id())), "sized")
     shards = max(1, -(-sized.count() // shard_rows))
-    sized = sized.withColumn("_shard", F.pmod(F.xxhash64("_id", "_cluster"), F.lit(shards)))
+    sized = sized.withColumn("_shard", F.pmod(F.xxhash64("_id", "_cluster", "_salt"), F.lit(shards)))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_id", "_cluster", "_source"], na_position="first")

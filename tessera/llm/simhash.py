@@ -9,6 +9,7 @@ Only distinct fingerprints are joined, so exact copies cost nothing. In a key gr
 fingerprints all pairs are compared. In larger groups pairs would grow with the square, so the groups are linked exactly
 in linear space: two fingerprints differ in at most two bits just if the sets of what each becomes by changing at most
 one bit meet; members are joined to the smallest member at each meeting point, and those links are verified as well.
+(With ``max_bits=1`` a fingerprint is joined to those that it becomes by changing one bit.)
 Components come from alternating large-star and small-star steps over written tables.
 
 Defined results: null and empty texts have fingerprint 0 and link like others; fewer words than a shingle make one
@@ -85,15 +86,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, small_group: int = SMALL_GRO
     near = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= max_bits
     a, b = small.select("_key", F.col("_fp").alias("_a")), small.select("_key", F.col("_fp").alias("_b"))
     pairs = a.join(b, (a["_key"] == b["_key"]) & (F.col("_a") < F.col("_b")) & near).select("_a", "_b")
-    if max_bits == 2 and not large.isEmpty():
-        pairs = pairs.union(_dense(large.select("_fp").distinct()).where(near))
+    if max_bits and not large.isEmpty():  # distinct fingerprints differ in at least one bit
+        pairs = pairs.union(_dense(large.select("_fp").distinct(), max_bits).where(near))
     return pairs.distinct()
 
 
-def _dense(fps: DataFrame) -> DataFrame:
-    """Edges among fingerprints that are at most two bits apart, in space that grows with their number only."""
+def _dense(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Edges among fingerprints that are at most one or two bits apart, in space that grows with their number only."""
     one = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(2**63)).cast("long") for i in range(64)])
     ball = fps.select("_fp", F.explode(F.transform(one, lambda x: x.bitwiseXOR(F.col("_fp")))).alias("_at"))
+    if max_bits == 1:  # one lies in the other's ball
+        return ball.join(fps.select(F.col("_fp").alias("_a")), (F.col("_at") == F.col("_a")) & (F.col("_a") < F.col("_fp"))).select("_a", F.col("_fp").alias("_b")).distinct()
     least = ball.groupBy("_at").agg(F.min("_fp").alias("_a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return ball.join(least, "_at").where("_a < _fp").select("_a", F.col("_fp").alias("_b")).distinct()
 
