@@ -55,6 +55,7 @@ class _Words(dict):
 
 
 _words = _Words()
+_made: dict[int, np.ndarray] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,18 +65,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(factor: int, n: int) -> np.ndarray:
-    out = np.full(n, factor, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words, and two digests (64 and 32 bits, signed) of the runs of a text."""
+    """1, factor, its square and so on, modulo 2**64."""
+    out = _made.get(factor)
+    if out is None or len(out) < n:
+        out = np.full(max(n, 1 << 14), factor, dtype=np.uint64)
+        out[0] = 1
+        np.cumprod(out, dtype=np.uint64, out=out)
+        if len(out) <= 1 << 20:
+            _made[factor] = out
+    return out[:n]
+
+
+def runs(text: str | None, min_words: int = MIN_WORDS, places: bool = True) -> tuple[np.ndarray, ...]:
+    """Digest (64 bits, signed) of the runs of a text; with ``places`` also first word, number of words, 32 bits more."""
     words = (text or "").lower().split()
     n = len(words)
     if n < min_words:
         none = np.empty(0, dtype=np.int64)
-        return none, none, none, none.astype(np.int32)
+        return (none, none, none, none.astype(np.int32)) if places else (none,)
     h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
     ends = np.flatnonzero((h & np.uint64(1)).astype(bool)) + 1
     if not len(ends) or ends[-1] < n:
@@ -90,11 +97,11 @@ def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.n
     whole = last < len(ends)
     a, b = starts[whole], ends[last[whole]]
     digests = []
-    for factor in _FACTORS:
+    for factor in _FACTORS[: 1 + places]:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((h >> np.uint64(1)) * _powers(factor, n), dtype=np.uint64, out=sums[1:])
-        digests.append(_mixed((sums[b] - sums[a]) * _powers(pow(factor, -1, 2**64), n)[a]))
-    return a, b - a, digests[0].view(np.int64), (digests[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        digests.append(_mixed((sums[b] - sums[a]) * _powers(pow(factor, -1, 2**64), n)[a]).view(np.int64))
+    return (digests[0], a, b - a, (digests[1] >> 32).astype(np.int32)) if places else (digests[0],)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,12 +114,12 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, min_words: int, places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [runs(x.as_py(), min_words) for x in b.column(2)]
+            got = [runs(x.as_py(), min_words, places) for x in b.column(2)]
             each = [np.concatenate(c) for c in zip(*got, strict=True)]
-            columns = [pa.array(each[2])]
+            columns = [pa.array(each[0])]
             if places:
                 at = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
-                columns += [pa.array(each[3]), b.column(0).take(at), b.column(1).take(at), pa.array(each[0].astype(np.int32)), pa.array(each[1].astype(np.int32))]
+                columns += [pa.array(each[3]), b.column(0).take(at), b.column(1).take(at), pa.array(each[1].astype(np.int32)), pa.array(each[2].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(_rows(docs, id_col, text_col), run, "_d long, _c int, _id long, _h long, _from int, _n int" if places else "_d long")
@@ -125,7 +132,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # ``often`` and ``first`` have no bound, so they are never broadcast: the plan is the same at every size.
     met = durable(_digests(docs, id_col, text_col, min_words, True).join(often.hint("merge"), "_d", "left_semi"), "met")
     first = met.groupBy("_d", "_c").agg(F.min(F.struct("_id", "_h", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times"))
-    both = met.join(first.where("_times > 1").hint("merge"), ["_d", "_c"])
+    first = durable(first.where("_times > 1"), "first")  # as a table, so that Spark may split the join where a run is hot
+    both = met.join(first.hint("merge"), ["_d", "_c"])
     apart = (F.col("_id") != F.col("_first._id")) | (F.col("_h") != F.col("_first._h")) | (F.col("_from") >= F.col("_first._from") + F.col("_n"))
     return both.where(apart).select("_id", "_h", "_from", "_n")
 
@@ -174,7 +182,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 t = t.as_py()
                 out.append((i, *(cut(t, [(g["_from"], g["_n"]) for g in gone.as_py()]) if t else (t, [])), 1))
                 if times > 1:  # the other rows repeated whole
-                    out.append((i, *(cut(t, list(zip(*(x.tolist() for x in runs(t, min_words)[:2]), strict=True))) if t else (t, [])), times - 1))
+                    out.append((i, *(cut(t, list(zip(*(x.tolist() for x in runs(t, min_words)[1:3]), strict=True))) if t else (t, [])), times - 1))
             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64())
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "text", "removed", "_copies"])

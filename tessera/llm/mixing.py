@@ -11,8 +11,9 @@ each bucket, so a source that holds a third of all rows is spread over ``16**buc
 (one row for each source) meet in one window.
 
 Defined results: null text has size 0 and is never taken; null source is a source of its own, last in order; null ids
-are taken like others; a source without words has target 0; an empty table gives an empty table; ties in hash order are
-broken by id; rows that repeat an id are counted and taken as rows of their own.
+are taken like others; a source without words has target 0; an empty table gives an empty table; the order inside a source
+is that of a hash of id and text, ties go by id; rows that repeat an id, or are repeated whole, are counted and taken as
+rows of their own (which of the equal ones is taken makes no difference).
 """
 
 from __future__ import annotations
@@ -77,6 +78,12 @@ def targets(totals: DataFrame, schedules: Sequence[Schedule] = CONSTANT, max_epo
     return t.select("_source", "_has", "_class", target.alias("_target"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text; a missing id and a missing text differ from empty ones."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("?")), F.lit(" "), F.coalesce(text, F.lit(""))]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
 def mix(
     docs: DataFrame,
     schedules: Sequence[Schedule] = CONSTANT,
@@ -88,16 +95,17 @@ def mix(
     text_col: str = "text",
     bucket_digits: int = 3,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, source, size, source_size, target, taken, takes (array of position, words).
+    """One row for each row of ``docs``: id, source, size, source_size, target, taken, takes (array of position, words), row_key.
 
     ``takes`` has an element for each epoch in which the document is read. The document at which a source's demand runs
     out is read as far as the demand goes if ``partial``; else it is read whole if at least half of it is still wanted.
+    ``row_key`` is the hash of id and text that ``repeat_documents`` meets the rows by.
     """
     sized = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         n_words(F.col(text_col)).alias("_size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_order"),
+        row_key(F.col(id_col), F.col(text_col)).alias("_order"),
     ).withColumn("_bucket", F.substring("_order", 1, bucket_digits))
     sized = durable(sized, "sized")
     buckets = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in"))
@@ -136,23 +144,32 @@ def mix(
         F.round("_target", 6).alias("target"),
         taken.alias("taken"),
         "takes",
+        F.col("_order").alias("row_key"),
     )
 
 
-def curriculum(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What ``mix`` returns, with the first training position, range-sorted by it (untaken documents last).
+def curriculum(mixed: DataFrame) -> DataFrame:
+    """What ``mix`` returns, with the first training position (null if untaken), range-sorted by it, untaken documents last.
+
+    The key breaks ties, so that the untaken documents, which share a position, are spread over the ranges too.
+    """
+    placed, tie = mixed.withColumn("position", F.get("takes.position", F.lit(0))), F.col("row_key")
+    order = F.coalesce("position", F.lit(float("inf")))
+    return placed.repartitionByRange(order, tie).sortWithinPartitions(order, tie)
+
+
+def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, each row once for each epoch that takes it, range-sorted by training position.
 
-    The id's hash breaks ties, so that the untaken documents, which share a position, are spread over the ranges too.
+    Rows meet their takes by hash of id and text, and source. Of rows that share all of these one stands for all, and it
+    comes as often as they are taken together.
     """
-    first = F.coalesce(F.get("takes.position", F.lit(0)), F.lit(float("inf")))
-    placed, tie = mixed.withColumn("position", first), F.xxhash64(id_col)
-    return placed.repartitionByRange("position", tie).sortWithinPartitions("position", tie)
-
-
-def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with all its columns, each row once for each epoch that takes it, range-sorted by training position."""
-    takes = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.explode("takes.position").alias("_position"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_k"), docs[source_col].alias("_s"))
-    takes = takes.dropDuplicates(["_id", "_src", "_position"])
-    joined = rows.join(takes, F.col("_k").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*")
+    takes = mixed.where("taken > 0").select(F.col("row_key").alias("_key"), F.col(source_col).alias("_src"), F.explode("takes.position").alias("_position"))
+    times = mixed.groupBy(F.col("row_key").alias("_k"), F.col(source_col).alias("_s")).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    times = durable(times, "repeated").hint("merge")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs[id_col], docs[text_col]).alias("_own"), docs[source_col].alias("_from"))
+    marked = rows.join(times, (F.col("_own") == F.col("_k")) & F.col("_from").eqNullSafe(F.col("_s")), "left")
+    first = marked.where("_times IS NOT NULL").groupBy("_own", "_from").agg(F.first("_row").alias("_row"))
+    rows = marked.where("_times IS NULL").select("_own", "_from", "_row").unionByName(first)
+    joined = rows.join(takes.hint("merge"), (F.col("_own") == F.col("_key")) & F.col("_from").eqNullSafe(F.col("_src")))
+    return joined.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select("_row.*")

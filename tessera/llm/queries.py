@@ -35,7 +35,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '?') || ' ' || coalesce(text, '')) AS place FROM documents),
         totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS has FROM sized GROUP BY source),
         weighed AS (
             SELECT source, has, has * 3.0::DOUBLE AS cap, CAST(sum(has) OVER () AS DOUBLE) AS total,
@@ -112,7 +112,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT source, has, least(cap, w * (SELECT arg_min(level, rank) FROM levels WHERE level <= cap / w)) AS target FROM levels),
         placed AS (
             SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
+        -- Constant weights: the middle of what is read first, as a share of the source's words, is its training position.
         SELECT doc_id, size, has AS source_size, round(target, 6) AS target,
+               CASE WHEN least(size, round(target) - start) > 0 THEN round((start + least(size, round(target) - start) / 2) / target, 9) END AS position,
                CAST(greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - start - has))
                     + greatest(0, least(size, round(target) - start - 2 * has)) AS BIGINT) AS taken
         FROM placed JOIN wanted ON placed.source IS NOT DISTINCT FROM wanted.source""",

@@ -165,6 +165,36 @@ def test_curriculum_follows_schedule(spark):
         mixing.mix(docs, schedules=(((0.0, 1.0), (0.9, 1.0)),))
 
 
+def test_positions_by_brute_force(spark):
+    """The query's schedule (constant weights): each take stands at the middle of its words in the source's demand."""
+    r = random.Random(8)
+    rows = [(i, " ".join("w" * r.randrange(0, 40)), "en", r.choice("abc")) for i in range(400)]
+    target = defaultdict(list)
+    for g in mixing.curriculum(mixing.mix(table(spark, rows))).collect():
+        target[g["source"]].append(g)
+    for source, got in target.items():
+        has = sum(g["size"] for g in got)
+        start = 0
+        for g in sorted(got, key=lambda g: g["row_key"]):
+            want = int(g["target"] + 0.5)
+            takes = [(e * has + start, min(g["size"], want - e * has - start)) for e in range(3)]
+            takes = [((at + n / 2) / g["target"], n) for at, n in takes if n > 0]
+            assert [(pytest.approx(p, abs=1e-6), n) for p, n in takes] == [(x["position"], x["words"]) for x in g["takes"]]
+            assert g["position"] == (g["takes"][0]["position"] if takes else None)
+            start += g["size"]
+        assert start == has and source
+
+
+def test_repeated_rows_and_null_ids_are_not_multiplied(spark):
+    t = "one two three four five"
+    rows = [(1, t, "en", "a")] * 5 + [(None, t, "en", "b")] * 4 + [(None, "x y", "en", "b"), (None, None, "en", None), (2, t, "en", "a"), (2, t + " six", "en", "a"), (3, "q " * 400, "en", "c"), (3, "q " * 400, "en", "d")]
+    docs = table(spark, rows)
+    mixed = mixing.mix(docs, partial=False)
+    takes = sum(len(g["takes"]) for g in mixed.collect())
+    repeated = mixing.repeat_documents(docs, mixed)
+    assert repeated.columns == docs.columns and repeated.count() == takes
+
+
 def test_packing(spark):
     r = random.Random(9)
     rows = [(i, " ".join(r.choices("abcdefgh", k=r.choice([0, 1, 5, 50, 64, 65, 300]))), "en", r.choice(["hot", "hot", "b", None])) for i in range(400)]
