@@ -15,15 +15,18 @@ __all__ = ["WORD", "durable", "map_arrow", "n_words", "table", "word_chars"]
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 
-#: Rows in an Arrow batch, where the session has Spark's default: whole texts are long, and workers keep what a batch took.
-BATCH_ROWS = 500
+#: Bytes in an Arrow batch, where the session has Spark's default of 64 MB: workers keep what a batch took.
+BATCH_BYTES = 4 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` in batches that bound a worker's memory."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """``mapInArrow`` in batches that bound a worker's memory, however long the texts are.
+
+    The bound is a setting of the session, read when the plan runs; one that the user chose stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == "67108864":
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

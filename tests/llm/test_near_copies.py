@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import near_copies, pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _node string, _lost string"
 
@@ -69,7 +68,7 @@ def test_stage_drops_copies_beyond_two_bits(spark):
         b[30], b[90] = "changed", "too"
         rows += [(n, " ".join(a)), (n + 1, " ".join(b))]
         assert (fingerprint(rows[-1][1]) ^ fingerprint(rows[-2][1])).bit_count() > 2 or n
-    got = corpus_pipeline.near_dedup(spark, table(spark, rows), "")
+    got = pipeline.near_dedup(spark, table(spark, rows), "")
     assert sorted(x["doc_id"] for x in got.collect()) == list(range(0, 40, 2))
 
 
