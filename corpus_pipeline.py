@@ -1,56 +1,5 @@
-"""A corpus from raw documents to packed training sequences: five stages, each a single operator of tessera.llm.
+"""The corpus pipeline's entry: ``STAGES``, ``run`` and ``ORACLE_SQL`` of ``tessera.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each as Parquet in the shared folder and
-reads it back as the next stage's input. All but the last return the columns of ``documents``. Mixing repeats a document
-as rows of its own, one for each epoch that takes it; packing then keeps the copies in different bins.
-"""
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tessera.llm.common import durable, table
-from tessera.llm.exact_dedup import drop_exact_duplicates
-from tessera.llm.language_id import keep_identified
-from tessera.llm.mixing import mix, repeat_documents
-from tessera.llm.near_copies import drop_near_duplicates
-from tessera.llm.packing import pack
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_identified(docs)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_duplicates(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeat_documents(docs, mix(docs, partial=False))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("mixing", mixing),
-    ("packing", packing),
-]
-
-#: Language identification, near duplicates and packing cannot be stated in SQL; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
