@@ -2,13 +2,19 @@
 
 Each text gives a vector of transformed statistics: ln words, ln mean word length, and the logarithms of the shares of
 symbols, repeated lines and repeated words. For each language and source a minimum-covariance-determinant estimate is
-made: from coordinate-wise medians, the ``SUBSET`` share of rows nearest to the centre is taken, its mean and covariance
-give new distances, and so on for ``STEPS`` concentration steps. The covariance is then scaled so that the median
-squared distance is that of a chi-square variable. Rows farther than ``CUTOFF`` are rejected.
+made. It starts from three estimates: coordinate-wise medians and median absolute deviations, mean and covariance of all
+rows, and the covariance of squashed deviations from the medians. From each, concentration steps (the ``SUBSET`` share of
+rows nearest to the centre gives the next mean and covariance) go on until the determinant stops falling, and the estimate
+with the smallest determinant is taken. Its covariance, which is that of the nearest rows only, is scaled to what a normal
+population would have as a whole, and rows beyond the chi-square quantile of ``TAIL`` are rejected: one in a million rows
+of a normal population.
+
+A statistic that is nearly constant in a group would reject whatever differs, so each has a least standard deviation
+(``FLOOR``): a variance below it is raised to it, others are left as they are.
 
 Native: expressions and grouped aggregates only. The text is read once; the steps run over the written statistics, each
-a pre-aggregated group-by and a join with one row for each group. Quantiles come from histograms of fixed resolution, so
-they are the same however rows are dealt, and no group meets in one task.
+a pre-aggregated group-by and a join with a row for each group and start. Medians and quantiles are exact percentiles of
+values in bins of fixed width: counts by bin, of bounded size, merged by group, the same however rows are dealt.
 
 Defined results: null text has no words and fails the base rules; null language or source is a value like others;
 groups with fewer than ``MIN_ROWS`` usable rows are judged by their language, then by all rows, and if these are still
@@ -18,21 +24,19 @@ table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, durable, word_chars
 
 SUBSET = 0.75
-STEPS = 3
+MAX_STEPS = 40  # a bound that concentration, which converges in a few steps, does not meet
 MIN_ROWS = 60
-#: A normal row of five statistics is farther than this with a probability of about 1e-12.
-CUTOFF = 65.0
-#: Median of a chi-square variable with as many degrees of freedom as there are statistics.
-_CHI_MEDIAN = 4.351
-#: Least standard deviation of each statistic, so that one that is constant in half the rows does not reject the rest.
-FLOOR = (0.5, 0.08, 0.35, 0.6, 1.0)
+TAIL = 1e-6
+#: Least standard deviation of each statistic.
+FLOOR = (1.0, 0.08, 0.35, 0.6, 1.0)
 SYMBOLS = "#*$%&|<>"
 _P = len(FLOOR)
 _BIN = 0.02  # resolution of ln(1 + squared distance) and of the medians
@@ -85,24 +89,40 @@ def vector() -> list[Column]:
     return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")]
 
 
-def _quantile(rows: DataFrame, value: Column, q: float, name: str) -> DataFrame:
-    """_group and the upper edge of the histogram bin that holds the quantile."""
-    bins = rows.groupBy("_group", F.floor(value / _BIN).cast("long").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    up = W.partitionBy("_group").orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("_group")
-    bins = bins.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(whole))
-    return bins.where(F.col("_to") >= q * F.col("_all")).groupBy("_group").agg(((F.min("_bin") + 1) * _BIN).alias(name))
+def beyond(x: float, p: int = _P) -> float:
+    """Probability that a chi-square variable with p (odd) degrees of freedom exceeds x."""
+    out, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, p, 2):
+        out, term = out + term, term * x / (k + 2)
+    return out
+
+
+def quantile(tail: float, p: int = _P) -> float:
+    """The value that a chi-square variable exceeds with probability ``tail``."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        at = (low + high) / 2
+        low, high = (at, high) if beyond(at, p) > tail else (low, at)
+    return high
+
+
+def _percentile(value: Column, q: float) -> Column:
+    """Aggregate: the quantile of ``value`` in bins, at the middle of the bin."""
+    return (F.percentile(F.floor(value / _BIN), F.lit(q)) + 0.5) * _BIN
 
 
-def _cholesky(params: DataFrame) -> DataFrame:
-    """Add l_i_j, the lower factor of the covariance c_i_j (with the floor on its diagonal)."""
+def _cholesky(params: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Add the lower factor l_i_j of the covariance c_i_j, times ``scale``, with the floors, and its determinant _det."""
+    det = F.lit(1.0)
     for i in range(_P):
         for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
+            rest = F.greatest(scale * F.col(f"c_{i}_{j}"), F.lit(FLOOR[i] ** 2)) if i == j else scale * F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return params.drop(*[f"c_{i}_{j}" for i in range(_P) for j in range(i + 1)])
+            # What the statistics before leave of a variance is at least a part of its floor, so the factor exists.
+            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 25))) if i == j else rest / F.col(f"l_{j}_{j}"))
+        det = det * F.col(f"l_{i}_{i}") * F.col(f"l_{i}_{i}")
+    return params.withColumn("_det", det)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -117,11 +137,8 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_d", total)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and covariance of each group."""
-    means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)]
-    cov = [F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)]
-    return rows.groupBy("_group").agg(*means, *cov)
+def _covariances(x: list[Column]) -> list[Column]:
+    return [F.coalesce(F.covar_pop(x[i], x[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)]
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
@@ -134,49 +151,69 @@ def _grouped(stats: DataFrame) -> DataFrame:
     own = stats.groupBy("_lang", "_source").agg(F.count(usable).alias("_n"))
     own = own.withColumn("_few", F.col("_n") < MIN_ROWS)
     lang = own.groupBy("_lang").agg(F.sum("_n").alias("_ln"), F.bool_or("_few").alias("_lang_asked"))
-    every = lang.agg(F.sum("_ln").alias("_all"), F.bool_or(F.col("_lang_asked") & (F.col("_ln") < MIN_ROWS)).alias("_all_asked"))
+    every = lang.agg(F.sum("_ln").alias("n"), F.bool_or(F.col("_lang_asked") & (F.col("_ln") < MIN_ROWS)).alias("asked")).first()
+    enough, asked = F.lit((every["n"] or 0) >= MIN_ROWS), F.lit(bool(every["asked"]))
     a, b, c = F.xxhash64(F.lit(1), "_lang", F.lit(1), "_source"), F.xxhash64(F.lit(2), "_lang"), F.xxhash64(F.lit(3))
     own = own.join(lang.withColumnRenamed("_lang", "_l2"), F.col("_lang").eqNullSafe(F.col("_l2"))).drop("_l2")
-    own = own.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one")
-    judge = F.when(~F.col("_few"), a).when(F.col("_ln") >= MIN_ROWS, b).when(F.col("_all") >= MIN_ROWS, c)
-    fits = F.array_compact(F.array(F.when(~F.col("_few"), a), F.when(F.col("_lang_asked") & (F.col("_ln") >= MIN_ROWS), b), F.when(F.col("_all_asked"), c)))
+    judge = F.when(~F.col("_few"), a).when(F.col("_ln") >= MIN_ROWS, b).when(enough, c)
+    fits = F.array_compact(F.array(F.when(~F.col("_few"), a), F.when(F.col("_lang_asked") & (F.col("_ln") >= MIN_ROWS), b), F.when(asked, c)))
     own = own.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), judge.alias("_group"), fits.alias("_fits"))
     own = durable(own, "groups")
     return stats.join(own, stats["_lang"].eqNullSafe(own["_l"]) & stats["_source"].eqNullSafe(own["_s"]), "left").drop("_l", "_s")
 
 
+_PARAMS = [f"m{i}" for i in range(_P)] + [f"{f}_{i}_{j}" for f in "cl" for i in range(_P) for j in range(i + 1)] + ["_det"]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates for each _group: _start, m_i, l_i_j, _det."""
+    x = [F.col(f"x{i}") for i in range(_P)]
+    m, s = [F.col(f"m{i}") for i in range(_P)], [F.col(f"s{i}") for i in range(_P)]
+    whole = rows.groupBy("_group").agg(*[_percentile(x[i], 0.5).alias(f"m{i}") for i in range(_P)], *[F.avg(x[i]).alias(f"a{i}") for i in range(_P)], *_covariances(x))
+    whole = durable(whole, "whole")
+    near = rows.join(whole.select("_group", *m), "_group")
+    spread = near.groupBy("_group").agg(*[F.greatest(1.4826 * _percentile(F.abs(x[i] - m[i]), 0.5), F.lit(FLOOR[i])).alias(f"s{i}") for i in range(_P)])
+    centre = durable(whole.select("_group", *m).join(spread, "_group"), "centre")
+    squashed = [F.tanh((x[i] - m[i]) / s[i]) for i in range(_P)]
+    shape = rows.join(centre, "_group").groupBy("_group").agg(*_covariances(squashed)).join(centre, "_group")
+    pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
+    made = [
+        centre.select("_group", F.lit(0).alias("_start"), *m, *[(s[i] * s[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs]),
+        whole.select("_group", F.lit(1).alias("_start"), *[F.col(f"a{i}").alias(f"m{i}") for i in range(_P)], *[f"c_{i}_{j}" for i, j in pairs]),
+        shape.select("_group", F.lit(2).alias("_start"), *m, *[(F.col(f"c_{i}_{j}") * s[i] * s[j]).alias(f"c_{i}_{j}") for i, j in pairs]),
+    ]
+    return _cholesky(made[0].union(made[1]).union(made[2])).withColumn("_det", F.lit(float("inf")))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row for each _group: centre m_i, factor l_i_j of its covariance, _scale."""
+    """One row for each _group: centre m_i, factor l_i_j of its covariance, determinant _det."""
     rows = rows.where("NOT base_failed").select(F.explode("_fits").alias("_group"), *[f"x{i}" for i in range(_P)])
-    centre = None
-    for i in range(_P):
-        m = _quantile(rows, F.col(f"x{i}"), 0.5, f"m{i}")
-        centre = m if centre is None else centre.join(m, "_group")
-    centre = durable(centre, "medians")
-    near = rows.join(centre, "_group")
-    spread = None
-    for i in range(_P):
-        s = _quantile(near, F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, f"s{i}")
-        spread = s if spread is None else spread.join(s, "_group")
-    params = centre.join(spread, "_group")
-    params = params.select("_group", *[f"m{i}" for i in range(_P)], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)])
-    params = durable(_cholesky(params), "start")
-    for step in range(STEPS):
-        far = _distance(rows.join(params, "_group"))
-        # One row for each group, of a size that Spark can measure: the rows are not dealt by group to meet it.
-        cut = durable(_quantile(far, F.log1p("_d"), SUBSET, "_cut"), f"cut{step}")
-        inner = far.select("_group", "_d", *[f"x{i}" for i in range(_P)]).join(cut, "_group").where(F.log1p("_d") <= F.col("_cut"))
-        params = durable(_cholesky(_moments(inner)), f"step{step}")
-    scale = _quantile(_distance(rows.join(params, "_group")), F.log1p("_d"), 0.5, "_median")
-    scale = scale.select("_group", F.greatest(F.lit(1.0), F.expm1("_median") / _CHI_MEDIAN).alias("_scale"))
-    return durable(params.join(scale, "_group"), "estimates")
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    now = durable(_starts(rows), "starts")
+    done = now.limit(0)
+    x = [F.col(f"x{i}") for i in range(_P)]
+    for step in range(MAX_STEPS):
+        far = _distance(rows.join(now, "_group")).withColumn("_at", F.floor(F.log1p("_d") / _BIN)).select("_group", "_start", "_at", *x)
+        # A row for each group and start: the rows are not dealt by group to meet it.
+        cut = durable(far.groupBy("_group", "_start").agg(F.percentile("_at", F.lit(SUBSET)).alias("_cut")), f"cut{step}")
+        inner = far.join(cut, ["_group", "_start"]).where("_at <= _cut")
+        moved = _cholesky(inner.groupBy("_group", "_start").agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(_P)], *_covariances(x)))
+        both = now.select("_group", "_start", F.struct(*_PARAMS).alias("_old")).join(moved.select("_group", "_start", F.struct(*_PARAMS).alias("_new")), ["_group", "_start"])
+        both = durable(both.withColumn("_falls", F.col("_new._det") < F.col("_old._det") * (1 - 1e-6)), f"step{step}")
+        done = done.union(both.where("NOT _falls").select("_group", "_start", "_old.*"))
+        now = both.where("_falls").select("_group", "_start", "_new.*")
+        if now.isEmpty():
+            break
+    best = done.union(now).groupBy("_group").agg(F.min(F.struct("_det", "_start", *_PARAMS[:-1])).alias("_best")).select("_group", "_best.*")
+    inside = 1 - beyond(quantile(1 - SUBSET), _P + 2)  # the share of a normal variance that the nearest rows hold
+    best = _cholesky(best.drop("_start", *[f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]), SUBSET / inside)
+    return durable(best.drop(*[f"c_{i}_{j}" for i in range(_P) for j in range(i + 1)]), "estimates")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """One row for each row of ``docs``: id, the statistics, base_failed, distance (squared, null if not estimated), kept."""
     stats = statistics(docs, id_col, text_col, lang_col, source_col).withColumn("base_failed", base_failed())
     stats = durable(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "statistics")
     rows = _grouped(stats)
-    found = _distance(rows.join(estimates(rows), "_group", "left")).withColumn("distance", F.col("_d") / F.col("_scale"))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    found = _distance(rows.join(estimates(rows), "_group", "left")).withColumnRenamed("_d", "distance")
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= quantile(tail))
     return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("distance", 6).alias("distance"), kept.alias("kept"))

@@ -138,6 +138,58 @@ def test_quality(spark):
         assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and (not r["kept"] or not r["base_failed"])
 
 
+def test_quantiles():
+    """Values of a chi-square table."""
+    assert quality.quantile(0.5) == pytest.approx(4.351, abs=1e-3) and quality.quantile(0.05) == pytest.approx(11.070, abs=1e-3)
+    assert quality.quantile(0.001) == pytest.approx(20.515, abs=1e-3) and quality.quantile(0.01, 7) == pytest.approx(18.475, abs=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_estimate_is_the_least_determinant_of_all_subsets(spark, seed, monkeypatch):
+    """Against all subsets of three quarters of a small group, with outliers in it; floors too small to matter."""
+    from itertools import combinations
+
+    import numpy as np
+
+    monkeypatch.setattr(quality, "FLOOR", (1e-3,) * 5)
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(16, 5)) @ r.normal(size=(5, 5))
+    x[:4] += r.normal(size=(4, 5)) * 3 + 25
+    rows = spark.createDataFrame([([7], False, *map(float, v)) for v in x], "_fits array<int>, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = quality.estimates(rows).first()
+    best = min((x[list(c)] for c in combinations(range(16), 12)), key=lambda s: np.linalg.det(np.cov(s.T, bias=True)))
+    assert got["_det"] == pytest.approx(np.linalg.det(np.cov(best.T, bias=True)) * _consistency() ** 5, rel=1e-3)
+    assert [got[f"m{i}"] for i in range(5)] == pytest.approx(best.mean(axis=0).tolist(), rel=1e-6)
+
+
+def _consistency():
+    return quality.SUBSET / (1 - quality.beyond(quality.quantile(1 - quality.SUBSET), 7))
+
+
+def test_quality_by_brute_force(spark):
+    """Distances from the estimate, computed row by row in Python; a language with one source, ties, a very long text."""
+    import numpy as np
+
+    r = random.Random(6)
+    clean = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 11))) for _ in range(n))
+    rows = [(i, clean(r.randrange(55, 700)), "en", "ab"[i % 2]) for i in range(200)] + [(i, clean(90), "fr", "only") for i in range(200, 280)]
+    rows += [(i, "### " * 60 + clean(100), "en", "a") for i in range(300, 303)] + [(303, clean(20_000), "en", "a")] + [rows[0]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judge(docs).collect()
+    stats = quality.statistics(docs).withColumn("base_failed", quality.base_failed())
+    stats = quality._grouped(quality.durable(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(quality.vector())]), "test"))
+    estimate = {e["_group"]: e for e in quality.estimates(stats).collect()}
+    want = []
+    for s in stats.collect():
+        e = estimate[s["_group"]]
+        low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        d = float(np.sum(np.linalg.solve(low, np.array([s[f"x{i}"] - e[f"m{i}"] for i in range(5)])) ** 2))
+        want.append((s["doc_id"], round(d, 3), not s["base_failed"] and d <= quality.quantile(1e-6)))
+    assert len(estimate) == 3
+    assert sorted((g["doc_id"], pytest.approx(g["distance"], abs=2e-3), g["kept"]) for g in got) == sorted(want)
+    assert all(g["kept"] == (not 300 <= g["doc_id"] < 303) for g in got)
+
+
 def test_quality_edges(spark):
     r = random.Random(4)
     clean = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(n))
