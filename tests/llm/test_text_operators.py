@@ -118,6 +118,63 @@ def test_html_of_all_pages(spark, sf_dir):
         assert html_text.main_text(r["html"]) == " ".join(html.unescape(plain).split())
 
 
+def without_marks(page):
+    return page.replace("\x02", "").replace("\x03", "")
+
+
+def test_html_held_out_pages():
+    """Pages by the same rule that the weights have not seen: all words of the content and no other, but for noise by name."""
+    exact, common, mine, theirs = 0, 0, 0, 0
+    pages = [p for i, p in enumerate(html_text.labelled_pages(600)) if i >= 400]
+    for page in pages:
+        within, want = False, []
+        for _, text, noise in html_text.events(page, lambda around, found: around or any({*n} & html_text._NOISE for n in found), False):
+            for piece in re.split("([\x02\x03])", text):
+                within = piece == "\x02" or (within and piece != "\x03")
+                want += re.findall(r"\w+", piece) if within and not noise else []
+        got = re.findall(r"\w+", html_text.main_text(without_marks(page)))
+        tagged = not re.search(r"<div[^>]*>\x02", page)
+        assert got == want or not tagged
+        exact += got == want
+        both = sum((Counter(got) & Counter(want)).values())
+        common, mine, theirs = common + both, mine + len(got), theirs + len(want)
+    assert exact > 0.7 * len(pages) and 2 * common / (mine + theirs) > 0.97
+
+
+def test_html_weights_decide():
+    """Without learned weights the scan finds something else; other labelled pages give other noise."""
+    page = "<body><div>one two three four</div><article><p>five six seven eight nine ten</p></article></body>"
+    assert html_text.main_text(page) == "five six seven eight nine ten"
+    flat = {k: (1.0 if k in ("word", "link") else -0.05) for k in html_text.default_weights()}
+    assert html_text.main_text(page, flat) == "one two three four five six seven eight nine ten"
+    own = ["<body><div class=zork>noise here</div><article>\x02<p>words of the page</p><div class=grault><p>and more of it</p></div>\x03</article></body>"] * 3
+    assert html_text.main_text("<body><article><p>one two</p><div class=nav><p>three</p></div></article></body>", html_text.fit_weights(own)) == "one two three"
+
+
+@pytest.mark.parametrize("name", ["side-effects", "form-of-energy", "entry-content", "wp-block-image", "searching", "adoption"])
+def test_html_drops_no_content_for_its_name(name):
+    page = f'<body><nav>x</nav><article><h1>Title</h1><p>one two three</p><div class="{name}" id="{name}">inner words</div><p>end</p></article></body>'
+    assert html_text.main_text(page) == "Title one two three inner words end"
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "ad-slot", "post-comments", "site-footer", "related-posts", "shareButtons", "hidden"])
+def test_html_drops_noise_by_name(name):
+    attr = name if name == "hidden" else f'class="{name}"'
+    page = f"<body><article><h1>Title</h1><p>one two three</p><div {attr}>inner words</div><p>end</p></article></body>"
+    assert html_text.main_text(page) == "Title one two three end"
+
+
+def test_html_long_and_hostile_pages(spark):
+    words = " ".join(f"w{i}" for i in range(100_000))
+    assert html_text.main_text(f"<article><p>{words}</p></article>") == words
+    deep = "<div>" * 3000 + "deep words" + "</div>" * 3000
+    assert html_text.main_text(f"<article><p>all of it</p>{deep}</article>").startswith("all of it")
+    assert html_text.main_text("<p>text " + "<a " * 100_000).startswith("text")
+    assert html_text.main_text("plain " + "<!-- " * 10_000) == "plain"
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars string")
+    assert html_text.extract(empty).collect() == []
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
