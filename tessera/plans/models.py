@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import prose as prose_refs
 from ..operators import readmodels
 from ..tables import table
 from .registry import query, six
@@ -105,7 +106,7 @@ def prose_rewrite(spark, d):
     labels = {i: f"Author{i} 20{i:02d}" for i in range(1, 51)}
     p = table(spark, d, "part").where("p_partkey <= 500")
     prose = F.concat(F.lit("It follows (P"), F.col("p_size").cast("string"), F.lit(", P"), (F.col("p_size") + 20).cast("string"), F.lit(") in cluster C1, on P3 GPUs."))
-    return p.select(F.col("p_partkey").alias("id"), readmodels.rewrite_refs_column(prose, labels, {1: "Graph methods"}).alias("prose"))
+    return p.select(F.col("p_partkey").alias("id"), prose_refs.rewrite_refs_column(prose, labels, {1: "Graph methods"}).alias("prose"))
 
 
 @query("dossier")

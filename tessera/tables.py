@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A temporary one serves only where the session names none."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one serves on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,15 +35,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(drop_tables)
     _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``durable`` returned as ``df``, once nothing will read it: the step before, when the next is written."""
+    path = getattr(df, "_tessera_path", None)
+    if path in _made:
+        _delete(path, _made.pop(path))
 
 
 def drop_tables() -> None:
-    """Delete what ``durable`` wrote. It runs when the session ends; results may read the tables until then."""
-    for path, spark in _made.items():
+    """Delete what ``durable`` wrote. It runs when the program ends; results may read the tables until then."""
+    while _made:
+        _delete(*_made.popitem())
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    """With the session that wrote it, or another one where that is stopped."""
+    for session in (spark, SparkSession.getActiveSession()):
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            break
-    _made.clear()
+            place = session._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+            return
+        except Exception:  # noqa: BLE001 - the session may be gone; the next table may have another
+            continue

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import changes, clustering, entities, graph, ranking, readmodels, relational
+from tessera.operators import prose as prose_refs
 from tessera.sources import backup, records, web
 
 
@@ -235,8 +236,8 @@ def test_round_robin(spark):
 )
 def test_prose_refs(prose, want):
     papers, clusters = {1: "Smith 2020", 2: "Lee 2021", 3: "Ray 2022"}, {0: "Graphs"}
-    got = readmodels.rewrite_refs(prose, papers, clusters)
-    assert got == want and readmodels.rewrite_refs(got, papers, clusters) == got
+    got = prose_refs.rewrite_refs(prose, papers, clusters)
+    assert got == want and prose_refs.rewrite_refs(got, papers, clusters) == got
 
 
 def test_pack_lane_has_no_overlap():
