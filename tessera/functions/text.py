@@ -94,86 +94,65 @@ def nfkc(text: Column) -> Column:
     return run(text)
 
 
-def stem(word: Column) -> Column:
-    """Light suffix stemming: plurals, -ing, -ed. Only words of more than three ASCII letters change."""
+def _singular(word: Column) -> Column:
+    end = lambda w, n: F.substring(w, 1, F.length(w) - n)
+    return (
+        F.when(~word.endswith("s"), word)
+        .when(word.endswith("ies") & (F.length(word) > 4), F.concat(end(word, 3), F.lit("y")))
+        .when(word.endswith("sses"), end(word, 2))
+        .when(~F.right(word, F.lit(2)).isin("ss", "us", "is", "as"), end(word, 1))
+        .otherwise(word)
+    )
+
+
+def _root(word: Column, singular: Column) -> Column:
+    """The stem of ``word``, of which ``singular`` is known. Words that no rule can change are passed over first."""
     end = lambda w, n: F.substring(w, 1, F.length(w) - n)
 
     def undouble(w: Column) -> Column:
         n = F.length(w)
-        double = w.rlike(r"(.)\1$") & (n >= 3)
+        double = (F.right(w, F.lit(1)) == F.substring(w, -2, 1)) & (n >= 3)
         ell = w.endswith("ell") & (n >= 6)
-        return F.when(double & (~w.rlike("[lsz]$") | ell), end(w, 1)).otherwise(w)
+        return F.when(double & (~F.right(w, F.lit(1)).isin("l", "s", "z") | ell), end(w, 1)).otherwise(w)
 
-    plural = (
-        F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(end(word, 3), F.lit("y")))
-        .when(word.endswith("sses"), end(word, 2))
-        .when(word.endswith("s") & ~word.rlike("(ss|us|is|as)$"), end(word, 1))
-        .otherwise(word)
-    )
+    vowel = lambda w: F.length(F.translate(w, "aeiouy", "")) < F.length(w)
     base = (
-        F.when(plural.endswith("ing") & (F.length(plural) >= 6) & end(plural, 3).rlike("[aeiouy]"), undouble(end(plural, 3)))
-        .when(plural.endswith("ed") & ~plural.endswith("eed") & (F.length(plural) >= 5) & end(plural, 2).rlike("[aeiouy]"), undouble(end(plural, 2)))
-        .otherwise(plural)
+        F.when(singular.endswith("ing") & (F.length(singular) >= 6) & vowel(end(singular, 3)), undouble(end(singular, 3)))
+        .when(singular.endswith("ed") & ~singular.endswith("eed") & (F.length(singular) >= 5) & vowel(end(singular, 2)), undouble(end(singular, 2)))
+        .otherwise(singular)
     )
-    base = F.when((F.length(word) > 3) & word.rlike("^[a-z]+$"), base).otherwise(word)
     for odd, plain in STEM_EXCEPTIONS.items():
         base = F.when(word == odd, plain).otherwise(base)
-    return base
+    able = (F.length(word) > 3) & F.right(word, F.lit(1)).isin("s", "g", "d")
+    return F.when(able, F.when(F.length(F.translate(word, "abcdefghijklmnopqrstuvwxyz", "")) == 0, base).otherwise(word)).otherwise(word)
+
+
+def stem(word: Column) -> Column:
+    """Light suffix stemming: plurals, -ing, -ed. Only words of more than three ASCII letters change."""
+    return _root(word, _singular(word))
+
+
+def stem_all(words: Column) -> Column:
+    """``stem`` of each word of an array, in two steps, so that the singular is made once."""
+    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), _singular(w).alias("s")))
+    return F.transform(pairs, lambda x: _root(x["w"], x["s"]))
 
 
 def surface_terms(text: Column, stopwords: frozenset[str] = STOPWORDS, min_length: int = 2) -> Column:
     """Unstemmed terms in order, repeats kept; a hyphenated compound gives its joined form and its parts."""
-    stop = F.array(*map(F.lit, sorted(stopwords))) if stopwords else None
-    words = F.regexp_extract_all(fold(text), F.lit(f"({WORD})"), F.lit(1))
-    if stopwords:
-        words = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    folded = fold(text)
+    known = lambda w: w.isin(*sorted(stopwords)) if stopwords else F.lit(False)  # noqa: E731  a hash set, not a scan
+    words = F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))
+    keep = lambda ws: F.filter(ws, lambda w: (F.length(w) >= min_length) & ~known(w))
     parts = lambda w: F.split(w, HYPHEN)
-    spread = F.flatten(F.transform(words, lambda w: F.when(w.rlike(HYPHEN), F.concat(F.array(F.array_join(parts(w), "")), parts(w))).otherwise(F.array(w))))
-    kept = F.filter(spread, lambda w: F.length(w) >= min_length)
-    return F.filter(kept, lambda w: ~F.array_contains(stop, w)) if stopwords else kept
+    spread = F.transform(F.filter(words, lambda w: ~known(w)), lambda w: F.when(w.rlike(HYPHEN), F.concat(F.array(F.array_join(parts(w), "")), parts(w))).otherwise(F.array(w)))
+    return F.when(folded.rlike(rf"[\p{{L}}\p{{N}}]{HYPHEN}[\p{{L}}\p{{N}}]"), keep(F.flatten(spread))).otherwise(keep(words))
 
 
 def tokenize(text: Column, stemmed: bool = True, stopwords: frozenset[str] = STOPWORDS, min_length: int = 2) -> Column:
     """Ranking terms of a text."""
     terms = surface_terms(text, stopwords, min_length)
-    return F.transform(terms, stem) if stemmed else terms
-
-
-def py_tokenize(text: str) -> list[str]:
-    """The same for a query string on the driver."""
-    import regex
-
-    low = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
-    out = []
-    for w in regex.findall(WORD, low):
-        if w in STOPWORDS:
-            continue
-        parts = regex.split(HYPHEN, w)
-        out += [p for p in ([w] if len(parts) == 1 else ["".join(parts), *parts]) if len(p) >= 2 and p not in STOPWORDS]
-    return [py_stem(w) for w in out]
-
-
-def py_stem(w: str) -> str:
-    if len(w) <= 3 or not (w.isascii() and w.isalpha() and w.islower()):
-        return w
-    if w in STEM_EXCEPTIONS:
-        return STEM_EXCEPTIONS[w]
-
-    def undouble(s: str) -> str:
-        if len(s) < 3 or s[-1] != s[-2]:
-            return s
-        return s[:-1] if s[-1] not in "lsz" or (s.endswith("ell") and len(s) >= 6) else s
-
-    if w.endswith("ies") and len(w) > 4:
-        w = w[:-3] + "y"
-    elif w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith(("ss", "us", "is", "as")):
-        w = w[:-1]
-    for suffix, least in (("ing", 6), ("ed", 5)):
-        if w.endswith(suffix) and not (suffix == "ed" and w.endswith("eed")) and len(w) >= least:
-            return undouble(w[: -len(suffix)]) if set("aeiouy") & set(w[: -len(suffix)]) else w
-    return w
+    return stem_all(terms) if stemmed else terms
 
 
 # Named character references that are decoded, and what they stand for.

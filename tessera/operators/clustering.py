@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..tables import durable
 
 SEED, RESTARTS, MAX_ITERATIONS, MIN_SIZE, TOLERANCE = 42, 8, 100, 3, 0.01
 MATCH_MIN, OVERLAP_MIN, SIZE_RATIO = 0.5, 0.25, 0.3
@@ -187,8 +188,8 @@ def silhouette(rows: DataFrame, id_col: str = "id", cluster_col: str = "cluster"
 def term_segments(t: Column) -> Column:
     """Arrays of neighbouring terms: a stopword, a number or a single character ends a run, so bigrams never bridge it."""
     raw = F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+(?:-[a-z0-9]+)*)"), F.lit(1))
-    stop = F.array(*map(F.lit, sorted(text.TERM_STOPWORDS)))
-    marked = F.transform(raw, lambda w: F.when((F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~F.array_contains(stop, w), w).otherwise("|"))
+    number = lambda w: F.length(F.translate(w, "0123456789", "")) == 0
+    marked = F.transform(raw, lambda w: F.when((F.length(w) >= 2) & ~w.isin(*sorted(text.TERM_STOPWORDS)) & ~number(w), w).otherwise("|"))
     return F.transform(F.filter(F.split(F.array_join(marked, " "), r"\|"), lambda s: F.length(F.trim(s)) > 0), lambda s: F.split(F.trim(s), " "))
 
 
@@ -200,10 +201,12 @@ def terms_and_bigrams(t: Column) -> Column:
 
 def class_tf_idf(docs: DataFrame, cluster_col: str = "cluster", text_col: str = "text", id_col: str = "id") -> DataFrame:
     """cluster, term, tf, df, docs, score: (tf / length of class) * ln(1 + mean length of classes / tf over all)."""
-    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), F.col(id_col).alias("_id"), F.explode_outer(terms_and_bigrams(F.col(text_col))).alias("term"))
-    in_doc = grams.groupBy("cluster", "term", "_id").agg(F.count("term").alias("_c"))
-    by_term = in_doc.where("term IS NOT NULL").groupBy("cluster", "term").agg(F.sum("_c").alias("tf"), F.count(F.lit(1)).alias("df"))
-    lengths = grams.groupBy("cluster").agg(F.count("term").alias("_len")).where("_len > 0")
+    # A document counts each of its terms once for df and each occurrence for tf, so both are summed on the map side.
+    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), terms_and_bigrams(F.col(text_col)).alias("_t"))
+    count = lambda terms, tf, df: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    each = grams.select("cluster", F.explode(F.concat(count("_t", 1, 0), count(F.array_distinct("_t"), 0, 1))).alias("_g")).select("cluster", "_g.*")
+    by_term = durable(each.groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "terms")
+    lengths = by_term.groupBy("cluster").agg(F.sum("tf").alias("_len"))
     counts = docs.where(F.col(cluster_col) >= 0).groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("docs"))
     mean = lengths.agg(F.avg("_len").alias("_mean"))
     overall = by_term.groupBy("term").agg(F.sum("tf").alias("_all"))

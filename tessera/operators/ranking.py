@@ -8,11 +8,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from .relational import first_per_key, percentile_rank
+from ..tables import durable
+from .relational import first_per_key, number_rows, percentile_rank
 
 RRF_K = 60
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.0
@@ -35,20 +35,19 @@ def postings(docs: DataFrame, fields: Sequence[str] = tuple(FIELDS), id_col: str
 def bm25f(docs: DataFrame, query: str | Sequence[str], exclude: str | Sequence[str] = (), exclude_weight: float = 1.0, weights: dict[str, float] = FIELDS, k1: float = K1, b: float = B, id_col: str = "id") -> DataFrame:
     """id, score of every document. Terms of ``exclude`` leave the query and count negative.
 
-    One pass makes per-document field lengths and the frequencies of the query's terms only (an array filter before any
-    shuffle), so what is shuffled does not grow with the vocabulary; collection statistics are one row.
+    One pass makes per-document field lengths and the frequencies of the query's terms only, and writes these numbers;
+    statistics and scores read them. Only words that begin as a query term does are stemmed, for stems keep their first two
+    letters. Collection statistics are one row.
     """
-    tokens = lambda q: list(dict.fromkeys(t for s in ([q] if isinstance(q, str) else q) for t in text.py_tokenize(s)))
-    out = tokens(exclude)
-    wanted = [t for t in tokens(query) if t not in out]
+    out = query_terms(docs, exclude)
+    wanted = [t for t in query_terms(docs, query) if t not in out]
     terms = wanted + out
-    rows = docs.select(id_col, *[text.tokenize(F.col(f)).alias(f"_t_{f}") for f in weights])
+    rows = docs.select(id_col, *[text.surface_terms(F.col(f)).alias(f"_w_{f}") for f in weights])
+    near = lambda f: F.filter(F.col(f"_w_{f}"), lambda w: F.left(w, F.lit(2)).isin(*sorted({t[:2] for t in terms})))
+    stems = lambda f: text.stem_all(near(f)) if terms else F.array().cast("array<string>")
+    rows = rows.select(id_col, *[F.greatest(F.size(f"_w_{f}"), F.lit(0)).alias(f"_len_{f}") for f in weights], *[stems(f).alias(f"_t_{f}") for f in weights])
     count = lambda f, t: F.size(F.filter(F.col(f"_t_{f}"), lambda x: x == t))
-    rows = rows.select(
-        id_col,
-        *[F.size(f"_t_{f}").alias(f"_len_{f}") for f in weights],
-        *[count(f, t).alias(f"_tf_{f}_{i}") for f in weights for i, t in enumerate(terms)],
-    )
+    rows = durable(rows.select(id_col, *[f"_len_{f}" for f in weights], *[count(f, t).alias(f"_tf_{f}_{i}") for f in weights for i, t in enumerate(terms)]), "bm25f")
     has = lambda i: F.greatest(*[F.col(f"_tf_{f}_{i}") for f in weights], F.lit(0)) > 0
     stats = rows.agg(
         F.count(F.lit(1)).alias("_n"),
@@ -68,6 +67,15 @@ def bm25f(docs: DataFrame, query: str | Sequence[str], exclude: str | Sequence[s
     return rows.select(id_col, score.alias("score"))
 
 
+def query_terms(docs: DataFrame, query: str | Sequence[str]) -> list[str]:
+    """The distinct terms of a query, in order: the tokeniser run on one row."""
+    said = [query] if isinstance(query, str) else list(query)
+    if not said:
+        return []
+    row = docs.sparkSession.range(1).select(F.flatten(F.array(*[text.tokenize(F.lit(s)) for s in said])).alias("t")).first()
+    return list(dict.fromkeys(row["t"]))
+
+
 def rrf(lists: DataFrame, k: int = RRF_K, list_col: str = "list", pos_col: str = "pos", id_col: str = "id") -> DataFrame:
     """id, score, first_list, first_pos. ``lists`` has a 1-based position in each ranking; the best counts once.
 
@@ -81,7 +89,7 @@ def rrf(lists: DataFrame, k: int = RRF_K, list_col: str = "list", pos_col: str =
 
 def ranking_of(df: DataFrame, name: int | str, id_col: str, *order: Column) -> DataFrame:
     """One ranking as rows of (list, pos, id)."""
-    return df.select(F.lit(name).alias("list"), F.row_number().over(W.orderBy(*order)).alias("pos"), F.col(id_col).alias("id"))
+    return number_rows(df, "pos", *order).select(F.lit(name).alias("list"), "pos", F.col(id_col).alias("id"))
 
 
 def prerank(bm25: DataFrame, cosine: DataFrame, sources: DataFrame, id_col: str = "id") -> DataFrame:

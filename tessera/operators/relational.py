@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import durable
+
 
 def whole():
     """The window of all rows. Only for tables of known small size."""
@@ -36,6 +38,34 @@ def top_per_group(df: DataFrame, k: int, keys: Sequence[str], *order: Column) ->
     return row_numbers(df, "_rn", keys, *order).where(F.col("_rn") <= k).drop("_rn")
 
 
+def _ranged(df: DataFrame, value: Column, *order: Column | str) -> tuple[DataFrame, list]:
+    """``df`` dealt into ranges of ``order`` and written with the number of the range; the sum of ``value`` before each range.
+
+    What comes to the driver is a number for each range, of which there are as many as shuffle partitions.
+    """
+    parts = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    found = {r["_range"]: r["_sum"] for r in parts.groupBy("_range").agg(F.sum(value).alias("_sum")).collect()}
+    before, total = [], 0
+    for k in range(max(found, default=0) + 1):
+        before.append(total)
+        total += found.get(k) or 0
+    return parts, [*before, total]
+
+
+def number_rows(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the place of each row in the order of all rows, from 1. No task sees more than a range."""
+    parts, before = _ranged(df, F.lit(1), *order)
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return parts.withColumn(name, inside + F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("_range"))).drop("_range")
+
+
+def sum_before(df: DataFrame, name: str, value: str, *order: Column | str) -> tuple[DataFrame, float]:
+    """``df`` with the sum of ``value`` over the rows before it in the order of all rows, and the sum over all."""
+    parts, before = _ranged(df, F.col(value), *order)
+    inside = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return parts.withColumn(name, F.coalesce(inside, F.lit(0)) + F.get(F.array(*map(F.lit, before)), F.col("_range"))).drop("_range"), before[-1]
+
+
 def resolve_by_priority(left: DataFrame, right: DataFrame, keys: Sequence[str], id_col: str, name: str = "resolved_id") -> DataFrame:
     """``left`` with the id of the row of ``right`` that has the first of ``keys`` in common."""
     out = left
@@ -90,9 +120,13 @@ def percentile_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] =
     v = F.col(value).cast("double")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     counted = df.where(ok).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_peers"))
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_peers").over(over.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_peers").over(over)
+    if keys:
+        over = W.partitionBy(*keys)
+        before = F.coalesce(F.sum("_peers").over(over.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum("_peers").over(over)
+    else:
+        counted, everything = sum_before(counted, "_before", "_peers", "_v")
+        before, total = F.col("_before"), F.lit(everything)
     pct = F.when(total == 1, F.lit(1.0)).otherwise((before + (F.col("_peers") - 1) / 2) / (total - 1))
     ranks = counted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", pct.alias(name))
     on = v == F.col("_v")

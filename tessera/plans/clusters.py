@@ -52,7 +52,7 @@ def silhouette(spark, d):
 @query("kmeans_choose_k")
 def kmeans_choose_k(spark, d):
     """CLU-01, CLU-04, CLU-05, CLU-08: seeded k-means with the number of clusters chosen by silhouette."""
-    rows = _vectors(spark, d).where("id < 300").select((F.col("id") % 2).alias("search_id"), "id", "embedding")
+    rows = _vectors(spark, d).select(F.floor(F.col("id") / 300).alias("search_id"), "id", "embedding")  # a search selects at most 300
     return clustering.cluster(rows, 3, 5).select("search_id", "id", "cluster", F.round("silhouette", 5).alias("silhouette"))
 
 

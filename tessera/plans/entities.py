@@ -29,11 +29,11 @@ def upsert_resolve(spark, d):
     return entities.resolve(_records(spark, d))
 
 
-@query("id_components", f"""WITH RECURSIVE {_RECORDS}, l AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id <> b.id AND a.s2_id = b.s2_id WHERE a.id <= 400 AND b.id <= 400 UNION SELECT a.id, b.id FROM r a JOIN r b ON a.id <> b.id AND a.doi = b.doi WHERE a.id <= 400 AND b.id <= 400),
-    reach(id, cur) AS (SELECT id, id FROM r WHERE id <= 400 UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.cur) SELECT id, min(cur) AS keeper FROM reach GROUP BY id""")
+@query("id_components", f"""WITH RECURSIVE {_RECORDS}, l AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id <> b.id AND a.s2_id = b.s2_id UNION SELECT a.id, b.id FROM r a JOIN r b ON a.id <> b.id AND a.doi = b.doi),
+    reach(id, cur) AS (SELECT id, id FROM r UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.cur) SELECT id, min(cur) AS keeper FROM reach GROUP BY id""")
 def id_components(spark, d):
     """JOI-08, DML-01: what external ids connect."""
-    r = _records(spark, d).where("id <= 400")
+    r = _records(spark, d)
     return entities.components(r, entities.id_links(r))
 
 
@@ -68,18 +68,18 @@ def logged_lookup(spark, d):
     return entities.logged_lookup(want, p.select(F.col("page_id").alias("entry_id"), "url", F.col("page_id").alias("created")))
 
 
-@query("insert_ignore", "SELECT p_partkey AS id, p_size AS v FROM part WHERE p_partkey <= 100 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_partkey BETWEEN 101 AND 150")
+@query("insert_ignore", "SELECT p_partkey AS id, p_size AS v FROM part UNION ALL SELECT 2 * p_partkey, 0 FROM part WHERE 2 * p_partkey NOT IN (SELECT p_partkey FROM part)")
 def insert_ignore(spark, d):
     """DML-05."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
-    return rel.insert_ignore(p.where("id <= 100"), p.where("id BETWEEN 50 AND 150").withColumn("v", F.lit(0)), ["id"])
+    return rel.insert_ignore(p, p.select((2 * F.col("id")).alias("id"), F.lit(0).alias("v")), ["id"])
 
 
-@query("upsert_rows", "SELECT p_partkey AS id, CASE WHEN p_partkey >= 50 THEN 0 ELSE p_size END AS v FROM part WHERE p_partkey <= 150")
+@query("upsert_rows", "SELECT p_partkey AS id, p_size AS v FROM part WHERE p_partkey NOT IN (SELECT 2 * p_partkey FROM part) UNION ALL SELECT 2 * p_partkey, 0 FROM part")
 def upsert_rows(spark, d):
     """DML-05, API-02."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
-    return rel.upsert(p.where("id <= 100"), p.where("id BETWEEN 50 AND 150").withColumn("v", F.lit(0)), ["id"])
+    return rel.upsert(p, p.select((2 * F.col("id")).alias("id"), F.lit(0).alias("v")), ["id"])
 
 
 @query("cascade_delete", "SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)) GROUP BY 1")
@@ -90,14 +90,14 @@ def cascade_delete(spark, d):
     return rel.cascade_delete(table(spark, d, "lineitem"), o, "l_orderkey", "o_orderkey").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("backup_import", "SELECT (SELECT count(*) FROM part WHERE p_partkey > 100 AND p_partkey <= 150) AS added, (SELECT count(*) FROM part WHERE p_partkey BETWEEN 51 AND 100) AS skipped")
+@query("backup_import", "SELECT count(*) FILTER (WHERE 3 * p_partkey NOT IN (SELECT p_partkey FROM part)) AS added, count(*) FILTER (WHERE 3 * p_partkey IN (SELECT p_partkey FROM part)) AS skipped FROM part")
 def backup_import(spark, d):
     """DML-07, SRC-06, API-04: merged by natural key, with counts."""
     from ..sources.backup import import_merge
 
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("key"), "p_name")
-    incoming = p.where("id BETWEEN 51 AND 150").withColumn("id", F.col("id") + 1000000)
-    return import_merge(p.where("id <= 100"), incoming, "id", ["key"])[2]
+    incoming = p.withColumns({"id": F.col("id") + 10**12, "key": 3 * F.col("key")})
+    return import_merge(p, incoming, "id", ["key"])[2]
 
 
 @query("backup_lines", """SELECT 'nation' AS "table", n_nationkey AS k FROM nation UNION ALL SELECT 'region', r_regionkey FROM region UNION ALL SELECT '_header', 2""")

@@ -51,33 +51,35 @@ def pagerank_without_edges(spark, d):
     return graph.pagerank_or_null(n, n.select(F.col("id").alias("src"), F.col("id").alias("dst")))
 
 
-_CITES = "c AS (SELECT vec_id AS citing, (vec_id * 7 + k) % 300 AS cited, k = 1 AND vec_id % 3 = 0 AS influential FROM embeddings, (SELECT unnest([1, 2, 9]) AS k) WHERE vec_id < 300)"
+_CITES = "c AS (SELECT vec_id AS citing, (vec_id * 7 + k) % (SELECT count(*) FROM embeddings) AS cited, k = 1 AND vec_id % 3 = 0 AS influential FROM embeddings, (SELECT unnest([1, 2, 9]) AS k))"
 
 
 def _citations(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("citing"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(9))).alias("k"))
-    return e.select("citing", ((F.col("citing") * 7 + F.col("k")) % 300).alias("cited"), ((F.col("k") == 1) & (F.col("citing") % 3 == 0)).alias("influential"))
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    e = e.select(F.col("vec_id").alias("citing"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(9))).alias("k"))
+    return e.select("citing", ((F.col("citing") * 7 + F.col("k")) % n).alias("cited"), ((F.col("k") == 1) & (F.col("citing") % 3 == 0)).alias("influential"))
 
 
-@query("build_edges", f"""WITH {_CITES}, scope AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200), cited AS (SELECT citing, cited, bool_or(influential) AS influential FROM c WHERE citing <> cited AND citing < 200 AND cited < 200 GROUP BY 1, 2),
+@query("build_edges", f"""WITH {_CITES}, scope AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), cited AS (SELECT citing, cited, bool_or(influential) AS influential FROM c WHERE citing <> cited GROUP BY 1, 2),
     direct AS (SELECT citing AS source, cited AS target, CASE WHEN influential OR list_cosine_similarity(a.v, b.v) >= 0.6 THEN 'builds_on' ELSE 'cites' END AS kind, 1.0::DOUBLE AS weight FROM cited JOIN scope a ON a.id = citing JOIN scope b ON b.id = cited),
     near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM scope a JOIN scope b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.6 AND NOT EXISTS (SELECT 1 FROM cited WHERE (citing = a.id AND cited = b.id) OR (citing = b.id AND cited = a.id))),
     top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 3)
     SELECT source, target, kind, round(weight, 6) AS weight FROM direct UNION ALL SELECT least(a, b), greatest(a, b), 'similar', round(max(c), 6) FROM top GROUP BY least(a, b), greatest(a, b)""")
 def build_edges(spark, d):
     """GRF-04, TOP-02, TOP-09."""
-    scope = table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding")
+    scope = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     e = graph.build_edges(scope, _citations(spark, d))
     return e.select("source", "target", "kind", six("weight").alias("weight")).orderBy(*graph.edge_order())
 
 
-@query("similar_edges_top3", """WITH scope AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300), near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM scope a JOIN scope b ON a.id <> b.id)
+@query("similar_edges_top3", """WITH scope AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM scope a JOIN scope b ON a.id <> b.id)
     SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(c), 6) AS weight FROM (SELECT * FROM near WHERE c >= 0.2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 3) GROUP BY 1, 2""")
 def similar_edges_top3(spark, d):
     """JOI-11, TOP-02."""
     from ..operators.vector_search import nearest
 
-    e = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), "embedding")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = nearest(e, 0.2, 3)
     return near.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(six(F.max("cosine")).alias("weight"))
 
@@ -113,11 +115,11 @@ def citations_merged(spark, d):
     return graph.merge_citations(c, c.withColumn("influential", F.col("citing") % 5 == 0))
 
 
-@query("hindex_coalesce", """WITH a AS (SELECT l_orderkey AS id, 'a' || l_suppkey AS name, CAST(l_linenumber AS BIGINT) AS own FROM lineitem WHERE l_orderkey <= 2000)
+@query("hindex_coalesce", """WITH a AS (SELECT l_orderkey AS id, 'a' || l_suppkey AS name, CAST(l_linenumber AS BIGINT) AS own FROM lineitem)
     SELECT id, max(CASE WHEN s.s_suppkey % 3 = 0 THEN s.s_suppkey WHEN s.s_suppkey % 3 = 1 THEN s.s_suppkey * 2 ELSE own END) AS max_h FROM a LEFT JOIN supplier s ON 'a' || s.s_suppkey = a.name GROUP BY id""")
 def hindex_coalesce(spark, d):
     """GRF-08."""
-    line = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    line = table(spark, d, "lineitem")
     p = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit("a"), F.col("l_suppkey").cast("string")).alias("name"), F.col("l_linenumber").cast("long").alias("h"))).alias("authors"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("k"))
     return graph.author_h_index(p, s.where("k % 3 = 0").select("name", F.col("k").alias("h")), s.where("k % 3 = 1").select("name", (F.col("k") * 2).alias("h")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from ..tables import durable, shared_folder, table
+from ..tables import shared_folder, table
 from .registry import query
 
 
@@ -63,11 +63,11 @@ def host_spacing(spark, d):
     return jobs.spacing(table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("host")), 3100)
 
 
-@query("job_concurrency", """WITH j AS (SELECT o_orderkey AS job, o_orderdate AS s, o_orderdate + INTERVAL 5 DAY AS e FROM orders WHERE o_orderkey <= 3000), x AS (SELECT job, s AS t, 1 AS d FROM j UNION ALL SELECT job, e, -1 FROM j)
+@query("job_concurrency", """WITH j AS (SELECT o_orderkey AS job, o_orderdate AS s, o_orderdate + INTERVAL 5 DAY AS e FROM orders), x AS (SELECT job, s AS t, 1 AS d FROM j UNION ALL SELECT job, e, -1 FROM j)
     SELECT job, running FROM (SELECT job, d, CAST(sum(d) OVER (ORDER BY t, d, job) AS BIGINT) AS running FROM x) WHERE d = 1""")
 def job_concurrency(spark, d):
     """STR-10."""
-    j = table(spark, d, "orders").where("o_orderkey <= 3000").select(F.col("o_orderkey").alias("job"), F.col("o_orderdate").alias("started"), (F.col("o_orderdate") + F.expr("INTERVAL 5 DAY")).alias("ended"))
+    j = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderdate").alias("started"), (F.col("o_orderdate") + F.expr("INTERVAL 5 DAY")).alias("ended"))
     return jobs.concurrency(j)
 
 
@@ -88,13 +88,8 @@ def _stream(spark, d, columns=None):
 
 
 def _run(df, mode):
-    """The stream run to its end; its table in memory is written to the shared folder."""
-    spark = df.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    got = jobs.run_available(df, name, mode, f"{shared_folder(spark).rstrip('/')}/stream-{name}")
-    out = durable(got, "stream")
-    spark.catalog.dropTempView(name)
-    return out
+    """The stream run to its end, into the shared folder."""
+    return jobs.run_available(df, f"{shared_folder(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("stream_usage_totals", "SELECT user_id AS job, round(sum(value), 4) AS cost, count(*) AS calls FROM events GROUP BY 1")

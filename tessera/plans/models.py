@@ -25,12 +25,12 @@ def _points(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("cluster"), t.alias("t"), (F.col("o_totalprice") / 500000).alias("influence"))
 
 
-@query("lanes", """WITH p AS (SELECT o_orderkey AS id, CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 3 THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) ELSE -1 END AS lane, year(o_orderdate) + (month(o_orderdate) - 1) / 12 AS t FROM orders WHERE o_orderkey < 5000),
+@query("lanes", """WITH p AS (SELECT o_orderkey AS id, CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 3 THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) ELSE -1 END AS lane, year(o_orderdate) + (month(o_orderdate) - 1) / 12 AS t FROM orders),
     l AS (SELECT lane, row_number() OVER (ORDER BY lane = -1, min(t), lane) - 1 AS lane_order FROM p GROUP BY lane) SELECT id, p.lane, lane_order, round(t, 6) AS t FROM p JOIN l ON l.lane = p.lane""")
 def lanes(spark, d):
     """TIM-01."""
     known = spark.createDataFrame([(1,), (2,), (3,)], "cluster int")
-    return readmodels.lanes(_points(spark, d).where("id < 5000"), known).select("id", "lane", F.col("lane_order").cast("long").alias("lane_order"), six("t").alias("t"))
+    return readmodels.lanes(_points(spark, d), known).select("id", "lane", F.col("lane_order").cast("long").alias("lane_order"), six("t").alias("t"))
 
 
 @query("time_domain", "SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS cluster, CAST(min(year(o_orderdate)) AS BIGINT) AS lo, CAST(max(CASE WHEN month(o_orderdate) = 1 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END) AS BIGINT) AS hi FROM orders GROUP BY 1")
@@ -83,28 +83,33 @@ def axis_ticks(spark, d):
     return table(spark, d, "orders").agg(F.explode(F.sequence(F.min(y), F.max(y), F.lit(2))).alias("year"))
 
 
+def _lane():
+    """A lane is a priority within one run; a run is what a search selects, here 200 consecutive orders."""
+    return F.floor(F.col("id") / 200).cast("int") * 10 + F.col("cluster")
+
+
 @query("pack_lane")
 def pack_lane(spark, d):
     """TIM-04: greedy packing of each lane."""
-    p = _points(spark, d).where("id < 800")
-    p = p.select(F.col("cluster").alias("lane"), "id", ((F.col("t") - 1995) * 120).alias("x"), "t", readmodels.radius(F.col("influence")).alias("r"), "influence")
+    p = _points(spark, d)
+    p = p.select(_lane().alias("lane"), "id", ((F.col("t") - 1995) * 120).alias("x"), "t", readmodels.radius(F.col("influence")).alias("r"), "influence")
     return readmodels.pack_lanes(p)
 
 
 @query("overflow_markers")
 def overflow_markers(spark, d):
     """TIM-06: what overflows, in merged buckets."""
-    p = _points(spark, d).where("id < 800")
-    p = p.select(F.col("cluster").alias("lane"), "id", ((F.col("t") - 1995) * 120).alias("x"), "t", readmodels.radius(F.col("influence")).alias("r"), "influence")
+    p = _points(spark, d)
+    p = p.select(_lane().alias("lane"), "id", ((F.col("t") - 1995) * 120).alias("x"), "t", readmodels.radius(F.col("influence")).alias("r"), "influence")
     over = readmodels.pack_lanes(p, 20.0).where("overflow").select("lane", "id")
     return readmodels.overflow_markers(p.join(over, ["lane", "id"]))
 
 
-@query("prose_rewrite")
+@query("prose_rewrite", """SELECT p_partkey AS id, 'It follows (' || array_to_string(list_transform(list_filter([p_size, p_size + 20], lambda n: n BETWEEN 1 AND 50), lambda n: 'Author' || n || ' 20' || lpad(CAST(n AS VARCHAR), 2, '0')), '; ') || ') in cluster Graph methods, on P3 GPUs.' AS prose FROM part""")
 def prose_rewrite(spark, d):
     """STR-F20, AUX-12, AUX-13: refs in prose become labels."""
     labels = {i: f"Author{i} 20{i:02d}" for i in range(1, 51)}
-    p = table(spark, d, "part").where("p_partkey <= 500")
+    p = table(spark, d, "part")
     prose = F.concat(F.lit("It follows (P"), F.col("p_size").cast("string"), F.lit(", P"), (F.col("p_size") + 20).cast("string"), F.lit(") in cluster C1, on P3 GPUs."))
     return p.select(F.col("p_partkey").alias("id"), prose_refs.rewrite_refs_column(prose, labels, {1: "Graph methods"}).alias("prose"))
 
@@ -112,12 +117,12 @@ def prose_rewrite(spark, d):
 @query("dossier")
 def dossier(spark, d):
     """RMD-04: one document for each run, at the first level that fits."""
-    t = table(spark, d, "documents").where("doc_id < 200")
+    t = table(spark, d, "documents")  # a run holds fifty of them
     p = t.select(
-        (F.col("doc_id") % 4).cast("int").alias("search_id"), F.col("doc_id").alias("id"), F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("ref"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.floor(F.col("doc_id") / 50).cast("int").alias("search_id"), F.col("doc_id").alias("id"), F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("ref"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         (F.col("doc_id") % 3).cast("int").alias("cluster"), F.lit(None).cast("string").alias("published_at"), (1990 + F.col("doc_id") % 30).cast("int").alias("year"), F.col("text").alias("abstract"), F.col("n_chars").alias("cites"), (F.col("doc_id") % 10 / 10).alias("influence"),
     )
-    e = p.select("search_id", F.col("id").alias("source"), (F.col("id") % 40).alias("target"))
+    e = p.select("search_id", F.col("id").alias("source"), (F.floor(F.col("id") / 50) * 50 + F.col("id") % 40).alias("target"))
     return readmodels.dossier(p, e, 6000)
 
 
@@ -132,11 +137,11 @@ def dossier_order(spark, d):
     return table(spark, d, "documents").select(k.alias("id"), F.row_number().over(order).cast("long").alias("n"))
 
 
-@query("document_refs_resolved", "SELECT a.doc_id AS doc, r.pos, CAST(r.ref AS BIGINT) AS id FROM documents a, (SELECT unnest([7, 3, 7, 99999999]) AS ref, unnest([1, 2, 3, 4]) AS pos) r WHERE r.ref IN (SELECT doc_id FROM documents) AND r.pos <> 3 AND a.doc_id < 50")
+@query("document_refs_resolved", "SELECT a.doc_id AS doc, r.pos, CAST(r.ref AS BIGINT) AS id FROM documents a, (SELECT unnest([7, 3, 7, 99999999]) AS ref, unnest([1, 2, 3, 4]) AS pos) r WHERE r.ref IN (SELECT doc_id FROM documents) AND r.pos <> 3")
 def document_refs_resolved(spark, d):
     """JOI-16, RMD-05, JSN-02: refs in arrays resolve to rows, unknown ones drop, the first of equals stays."""
     t = table(spark, d, "documents")
-    arrays = t.where("doc_id < 50").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.lit(x) for x in (7, 3, 7, 99999999)])).alias("p", "id"))
+    arrays = t.select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.lit(x) for x in (7, 3, 7, 99999999)])).alias("p", "id"))
     first = arrays.groupBy("doc", "id").agg((F.min("p") + 1).alias("pos"))
     return first.join(t.select(F.col("doc_id").alias("id")), "id", "left_semi").select("doc", "pos", F.col("id").cast("long").alias("id"))
 
@@ -171,11 +176,11 @@ def snapshot_nested(spark, d):
     return total.join(top, "id").join(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id", "left_semi").select("id", F.col("_t.k").alias("top"), "total")
 
 
-@query("paper_detail", "SELECT o_orderkey AS id, c_name AS author, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS refs, o_orderstatus = 'F' AS done FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 200")
+@query("paper_detail", "SELECT o_orderkey AS id, c_name AS author, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS refs, o_orderstatus = 'F' AS done FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def paper_detail(spark, d):
     """RMD-02, API-09."""
-    o = table(spark, d, "orders").where("o_orderkey <= 200")
-    n = table(spark, d, "lineitem").where("l_orderkey <= 200").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("_n"))
+    o = table(spark, d, "orders")
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("_n"))
     c = table(spark, d, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("author"), F.coalesce("_n", F.lit(0)).alias("refs"), (F.col("o_orderstatus") == "F").alias("done"))
 

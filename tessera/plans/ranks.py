@@ -25,11 +25,10 @@ def bm25_sql(wanted: list[str], out: list[str]) -> str:
     scored AS (SELECT docs.id, coalesce(sum(sign * ln(1 + ((SELECT count(*) FROM docs) - df + 0.5) / (df + 0.5)) * tfp / (1.2 + tfp)), 0) AS score FROM docs LEFT JOIN pseudo ON pseudo.id = docs.id LEFT JOIN dfs ON dfs.term = pseudo.term GROUP BY docs.id)"""
 
 
-_Q = [t for t in text.py_tokenize(QUERY) if t not in text.py_tokenize(EXCLUDE)]
-_X = text.py_tokenize(EXCLUDE)
+_Q, _X = QUERY.split(), EXCLUDE.split()  # no stopword among them, none that stems
 
 
-@query("bm25f_top", f"WITH {bm25_sql(text.py_tokenize(QUERY), [])} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, id LIMIT 20")
+@query("bm25f_top", f"WITH {bm25_sql(_Q, [])} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, id LIMIT 20")
 def bm25f_top(spark, d):
     """RNK-01, MTH-03: the flagship."""
     return ranking.bm25f(docs(spark, d), QUERY).select("id", six("score").alias("score")).orderBy(F.desc("score"), "id").limit(20)
@@ -58,7 +57,7 @@ def rrf_fuse(spark, d):
 _COS0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
-@query("prerank", f"""WITH {bm25_sql(text.py_tokenize(QUERY), [])}, cosines AS (SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_COS0} AS DOUBLE[])), 9) AS c FROM embeddings JOIN docs ON docs.id = vec_id),
+@query("prerank", f"""WITH {bm25_sql(_Q, [])}, cosines AS (SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_COS0} AS DOUBLE[])), 9) AS c FROM embeddings JOIN docs ON docs.id = vec_id),
     lists AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id) AS pos, id FROM scored UNION ALL SELECT row_number() OVER (ORDER BY c DESC, id), id FROM cosines UNION ALL SELECT row_number() OVER (ORDER BY id % 7, id % 5 DESC, id), id FROM docs)
     SELECT id, round(sum(1.0 / (60 + pos)), 9) AS score FROM lists GROUP BY id""")
 def prerank(spark, d):
@@ -81,11 +80,11 @@ def related_top5(spark, d):
     return vector_search.related(rows, F.array(*[F.lit(float(x)) for x in v]))
 
 
-@query("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 60 AND b.vec_id < 60")
+@query("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5")
 def cosine_pairs(spark, d):
-    """VEC-01, VEC-02, JOI-11: a scope of sixty, as a selection is; blocks in numpy."""
-    e = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), "embedding")
-    return vector_search.similar_pairs(e, -1.1).select("a", "b", F.round("cosine", 5).alias("cosine"))
+    """VEC-01, VEC-02, JOI-11: all pairs at 0.5 or more; blocks in numpy."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector_search.similar_pairs(e, 0.5).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query("nearest_top3", """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)

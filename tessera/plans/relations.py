@@ -50,11 +50,11 @@ def references_expansion(spark, d):
     return rel.top_per_group(e, 3, ["paper"], F.col("ref"))
 
 
-@query("author_metrics", "SELECT s_suppkey AS id, max(l_quantity) AS h FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey < 500) w JOIN supplier ON s_suppkey = w.l_suppkey LEFT JOIN lineitem l ON l.l_suppkey = s_suppkey GROUP BY s_suppkey")
+@query("author_metrics", "SELECT s_suppkey AS id, max(l_quantity) AS h FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R') w JOIN supplier ON s_suppkey = w.l_suppkey LEFT JOIN lineitem l ON l.l_suppkey = s_suppkey GROUP BY s_suppkey")
 def author_metrics(spark, d):
     """SRC-16: metrics of the authors asked for, once each."""
     line = table(spark, d, "lineitem")
-    want = line.where("l_orderkey < 500").select("l_suppkey").distinct()
+    want = line.where("l_returnflag = 'R'").select("l_suppkey").distinct()
     h = line.groupBy("l_suppkey").agg(F.max("l_quantity").alias("h"))
     return table(spark, d, "supplier").join(want, F.col("s_suppkey") == want["l_suppkey"], "left_semi").join(h, F.col("s_suppkey") == h["l_suppkey"], "left").select(F.col("s_suppkey").alias("id"), "h")
 
@@ -228,21 +228,20 @@ def priority_key_resolve(spark, d):
     return rel.resolve_by_priority(w, h, ["k1", "k2", "k3"], "sid").select("id", "resolved_id")
 
 
-@query("external_id_or_join", """SELECT DISTINCT a.s_suppkey AS left_id, b.c_custkey AS right_id FROM supplier a JOIN customer b ON a.s_suppkey = b.c_custkey OR a.s_name = replace(b.c_name, 'Customer', 'Supplier') WHERE b.c_custkey <= 300""")
+@query("external_id_or_join", """SELECT DISTINCT a.s_suppkey AS left_id, b.c_custkey AS right_id FROM supplier a JOIN customer b ON a.s_suppkey = b.c_custkey OR a.s_name = replace(b.c_name, 'Customer', 'Supplier')""")
 def external_id_or_join(spark, d):
     """JOI-08."""
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lid"), F.col("s_suppkey").cast("string").alias("k1"), F.col("s_name").alias("k2"))
-    b = table(spark, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("rid"), F.col("c_custkey").cast("string").alias("k1"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("k2"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_custkey").cast("string").alias("k1"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("k2"))
     return rel.join_on_any(a, b, ["k1", "k2"], "lid", "rid")
 
 
-@query("ancestor_walk", """WITH RECURSIVE up(id, hop, cur) AS (SELECT p_partkey, 0, p_partkey FROM part WHERE p_partkey <= 64 UNION ALL SELECT id, hop + 1, cur // 2 FROM up WHERE cur > 1 AND hop < 20)
+@query("ancestor_walk", """WITH RECURSIVE up(id, hop, cur) AS (SELECT p_partkey, 0, p_partkey FROM part UNION ALL SELECT id, hop + 1, cur // 2 FROM up WHERE cur > 1 AND hop < 20)
     SELECT id, CAST(max(hop) AS BIGINT) AS hops, CAST(max(cur) FILTER (WHERE cur % 5 = 0) AS BIGINT) AS nearest FROM up GROUP BY id""")
 def ancestor_walk(spark, d):
     """JOI-15: a parent key followed up to twenty hops."""
-    table(spark, d, "part").where("p_partkey <= 64").createOrReplaceTempView("_ancestor_start")
-    return spark.sql("""WITH RECURSIVE up(id, hop, at) AS (SELECT p_partkey, 0L, p_partkey FROM _ancestor_start UNION ALL SELECT id, hop + 1, CAST(floor(at / 2) AS BIGINT) FROM up WHERE at > 1 AND hop < 20)
-        SELECT id, max(hop) AS hops, max(at) FILTER (WHERE at % 5 = 0) AS nearest FROM up GROUP BY id""")
+    return spark.sql("""WITH RECURSIVE up(id, hop, at) AS (SELECT p_partkey, 0L, p_partkey FROM {part} UNION ALL SELECT id, hop + 1, CAST(floor(at / 2) AS BIGINT) FROM up WHERE at > 1 AND hop < 20)
+        SELECT id, max(hop) AS hops, max(at) FILTER (WHERE at % 5 = 0) AS nearest FROM up GROUP BY id""", part=table(spark, d, "part"))
 
 
 @query("usage_rollup", "SELECT user_id AS job, count(*) AS calls, round(sum(value), 4) AS cost, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY user_id")
@@ -345,18 +344,19 @@ def relabel_by_size(spark, d):
 @query("final_rank", "SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size <= 10 DESC, p_retailprice DESC, p_partkey) AS final_rank FROM part")
 def final_rank(spark, d):
     """WIN-08, WIN-09."""
-    order = W.orderBy((F.col("p_size") <= 10).desc(), F.desc("p_retailprice"), "p_partkey")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.row_number().over(order).cast("long").alias("final_rank"))
+    p = rel.number_rows(table(spark, d, "part"), "final_rank", (F.col("p_size") <= 10).desc(), F.desc("p_retailprice"), "p_partkey")
+    return p.select(F.col("p_partkey").alias("id"), "final_rank")
 
 
-@query("ref_assignment", """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size < 25 THEN p_partkey % 40 END AS rank FROM part WHERE p_partkey <= 80), f AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) AS n FROM r), m AS (SELECT max(rank) AS top FROM r)
+@query("ref_assignment", """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size < 25 THEN p_partkey % 40 END AS rank FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) AS n FROM r), m AS (SELECT max(rank) AS top FROM r)
     SELECT id, 'P' || CAST(CASE WHEN rank IS NOT NULL AND n = 1 THEN rank ELSE top + row_number() OVER (PARTITION BY rank IS NOT NULL AND n = 1 ORDER BY id) END AS VARCHAR) AS ref FROM f, m""")
 def ref_assignment(spark, d):
     """WIN-09: ranks become refs; repeated and missing ranks get the next free numbers."""
-    r = table(spark, d, "part").where("p_partkey <= 80").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") < 25, F.col("p_partkey") % 40).alias("rank"))
-    r = r.withColumn("_own", F.col("rank").isNotNull() & (F.row_number().over(W.partitionBy("rank").orderBy("id")) == 1))
-    number = F.when(F.col("_own"), F.col("rank")).otherwise(F.max("rank").over(rel.whole()) + F.row_number().over(W.partitionBy("_own").orderBy("id")))
-    return r.select("id", F.concat(F.lit("P"), number.cast("string")).alias("ref"))
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") < 25, F.col("p_partkey") % 40).alias("rank"))
+    own = r.where("rank IS NOT NULL").groupBy("rank").agg(F.min("id").alias("id"))
+    top = own.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
+    rest = rel.number_rows(r.join(own.select("id"), "id", "left_anti"), "n", "id").select((F.col("n") + top).alias("rank"), "id")
+    return own.unionByName(rest).select("id", F.concat(F.lit("P"), F.col("rank").cast("string")).alias("ref"))
 
 
 @query("minmax_scale", "SELECT c_custkey AS id, round((c_acctbal - min(c_acctbal) OVER w) / nullif(max(c_acctbal) OVER w - min(c_acctbal) OVER w, 0), 6) AS relevance, round(c_custkey / max(c_custkey) OVER (), 6) AS share FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
@@ -369,10 +369,10 @@ def minmax_scale(spark, d):
     return c.select(F.col("c_custkey").alias("id"), six(rel.min_max(F.col("c_acctbal"), F.col("_lo"), F.col("_hi"))).alias("relevance"), six(F.col("c_custkey") / F.col("_top")).alias("share"))
 
 
-@query("phase_renumber", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS n FROM orders WHERE o_orderkey <= 500")
+@query("phase_renumber", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS n FROM orders")
 def phase_renumber(spark, d):
     """WIN-13."""
-    return table(spark, d, "orders").where("o_orderkey <= 500").select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy("o_orderpriority", "o_orderkey")).cast("long").alias("n"))
+    return rel.number_rows(table(spark, d, "orders"), "n", "o_orderpriority", "o_orderkey").select(F.col("o_orderkey").alias("id"), "n")
 
 
 @query("progress_prefix", "SELECT o_orderkey AS id, l_linenumber AS stage, round(coalesce(sum(q) OVER (PARTITION BY o_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(q) OVER (PARTITION BY o_orderkey), 6) AS progress FROM (SELECT o_orderkey, l_linenumber, sum(l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)")
@@ -404,8 +404,8 @@ def top_by_coalesced(spark, d):
 def nulls_last_sort(spark, d):
     """TOP-06, TOP-07, DAT-07."""
     p = papers(spark, d)
-    number = lambda o: F.row_number().over(W.orderBy(o, "id")).cast("long")
-    return p.select("id", number(F.desc_nulls_last("influential")).alias("down"), number(F.asc_nulls_last("influential")).alias("up"))
+    down = rel.number_rows(p.select("id", "influential"), "down", F.desc_nulls_last("influential"), "id")
+    return rel.number_rows(down, "up", F.asc_nulls_last("influential"), "id").select("id", "down", "up")
 
 
 @query("interleave_sources", "SELECT row_number() OVER (ORDER BY rank, CASE source WHEN 'orders' THEN 0 ELSE 1 END) AS pos, source, id FROM (SELECT 'orders' AS source, o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders UNION ALL SELECT 'customer', c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) FROM customer) WHERE rank <= 50")
@@ -418,13 +418,13 @@ def interleave_sources(spark, d):
 
 
 @query("jaccard_members", """WITH m AS (SELECT s_nationkey AS n, list(DISTINCT l_partkey) AS p FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)
-    SELECT a.n AS a, b.n AS b, round(len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))), 6) AS jaccard FROM m a JOIN m b ON a.n < b.n WHERE a.n < 4""")
+    SELECT a.n AS a, b.n AS b, round(len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))), 6) AS jaccard FROM m a JOIN m b ON a.n < b.n""")
 def jaccard_members(spark, d):
     """SET-03: intersections are counted by shared member, so no pair is compared that shares nothing."""
     s, line = table(spark, d, "supplier"), table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     m = s.join(line, s["s_suppkey"] == line["l_suppkey"]).select(F.col("s_nationkey").alias("n"), F.col("l_partkey").alias("p")).distinct()
     sizes = m.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
-    x, y = m.where("n < 4").toDF("a", "p"), m.toDF("b", "p")
+    x, y = m.toDF("a", "p"), m.toDF("b", "p")
     both = x.join(y, "p").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_i"))
     ka, kb = sizes.toDF("a", "_ka"), sizes.toDF("b", "_kb")
     return both.join(ka, "a").join(kb, "b").select("a", "b", six(F.col("_i") / (F.col("_ka") + F.col("_kb") - F.col("_i"))).alias("jaccard"))
@@ -455,10 +455,10 @@ def phase_status(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("job")).agg(status.alias("status"))
 
 
-@query("relation_groups", "SELECT g, p, r FROM (SELECT l_returnflag AS g, l_partkey AS p, min(l_linenumber) AS r FROM lineitem WHERE l_orderkey < 1000 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY r NULLS LAST, p) <= 20")
+@query("relation_groups", "SELECT g, p, r FROM (SELECT l_returnflag AS g, l_partkey AS p, min(l_linenumber) AS r FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY r NULLS LAST, p) <= 20")
 def relation_groups(spark, d):
     """AUX-02."""
-    rows = table(spark, d, "lineitem").where("l_orderkey < 1000").groupBy(F.col("l_returnflag").alias("g"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("r"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_partkey").alias("p")).agg(F.min("l_linenumber").alias("r"))
     return rel.top_per_group(rows, 20, ["g"], F.asc_nulls_last("r"), F.col("p"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.relational import sum_before
+
 STALE_SECONDS, HOURLY_CAP, BREAKER_FAILURES, OVERLAP_DAYS = 60, 20, 2, 14
 # Statuses that a job may go to from each status.
 TRANSITIONS = {
@@ -100,8 +102,8 @@ def tumbling(events: DataFrame, width: str = "1 hour", *by: str) -> DataFrame:
 def concurrency(jobs: DataFrame) -> DataFrame:
     """job, running: how many jobs run at the moment each starts. jobs: job, started, ended. A sweep over both ends."""
     ends = jobs.select("job", F.col("started").alias("t"), F.lit(1).alias("d")).union(jobs.where("ended IS NOT NULL").select("job", F.col("ended").alias("t"), F.lit(-1).alias("d")))
-    running = F.sum("d").over(W.orderBy("t", "d", "job"))
-    return ends.withColumn("running", running).where("d = 1").select("job", "running")
+    swept, _ = sum_before(ends, "before", "d", "t", "d", "job")
+    return swept.where("d = 1").select("job", (F.col("before") + 1).alias("running"))
 
 
 def deduplicated(stream: DataFrame, key: str = "event_id", delay: str = f"{OVERLAP_DAYS} days") -> DataFrame:
@@ -142,17 +144,28 @@ def status_machine(stream: DataFrame, seconds: int = STALE_SECONDS, delay: str =
     return marked.groupBy("job").applyInPandasWithState(run, out, "status string, last long, illegal long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, through the stream into a table in memory (for tests and small results)."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.trigger(availableNow=True).start()
+def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through the stream into a folder that driver and executors share.
+
+    Each batch is written under its number, so a batch that is repeated after a failure replaces itself. In complete mode
+    the last batch is the result, else all are.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        done.append(number)
+
+    done: list[int] = []
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    which = [max(done)] if mode == "complete" else sorted({*done})
+    return spark.read.schema(df.schema).parquet(*[f"{folder}/out/batch={n}" for n in which])
 
 
 def upsert_batches(stream: DataFrame, target: str, key: str, checkpoint: str):
