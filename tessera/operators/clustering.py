@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..tables import durable
+from .relational import bounded
 
 SEED, RESTARTS, MAX_ITERATIONS, MIN_SIZE, TOLERANCE = 42, 8, 100, 3, 0.01
+#: The most clusters that are compared or assigned to, and the most rows of a pool that is clustered in one task.
+MAX_CLUSTERS, MAX_POOL = 4096, 20_000
 MATCH_MIN, OVERLAP_MIN, SIZE_RATIO = 0.5, 0.25, 0.3
 _MASK = 0xFFFFFFFF
 
@@ -155,6 +158,8 @@ def cluster(rows: DataFrame, low: int, high: int, keys: Sequence[str] = ("search
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{id_col} {kinds[id_col]}", "cluster int", "silhouette double"])
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MAX_POOL:
+            raise ValueError(f"a pool of {len(part)} rows; the most is {MAX_POOL}")
         part = part.sort_values(id_col)
         labels, score = choose_k(np.array(part[vec_col].tolist(), dtype=float), low, high, seed)
         out = pd.DataFrame({id_col: part[id_col], "cluster": labels, "silhouette": score})
@@ -174,8 +179,9 @@ def silhouette(rows: DataFrame, id_col: str = "id", cluster_col: str = "cluster"
     unit = rows.select(F.col(id_col).alias("id"), F.col(cluster_col).alias("cluster"), vectors.normalize(F.col(vec_col)).alias("_u"))
     parts = unit.select("cluster", F.posexplode("_u").alias("_i", "_x")).groupBy("cluster", "_i").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
     sums = parts.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_v"), F.max("_n").alias("_n"))
+    sums = bounded(durable(sums, "sums"), MAX_CLUSTERS, "clusters")
     packed = sums.agg(F.sort_array(F.collect_list(F.struct("cluster", F.col("_v._s").alias("_s"), "_n"))).alias("_c"))
-    joined = unit.join(F.broadcast(packed))  # one row of k sums
+    joined = unit.join(F.broadcast(packed))  # one row of at most MAX_CLUSTERS sums
     far = F.transform("_c", lambda c: F.struct(c["cluster"].alias("cluster"), c["_n"].alias("n"), (c["_n"] - vectors.dot(F.col("_u"), c["_s"])).alias("d")))
     joined = joined.withColumn("_d", far)
     own = F.get(F.filter("_d", lambda d: d["cluster"] == F.col("cluster")), F.lit(0))
@@ -273,17 +279,27 @@ def relabel(rows: DataFrame, cluster_col: str = "cluster", rank_col: str = "fina
     return sizes.select(F.col(cluster_col).alias("old_cluster"), new.alias("new_cluster"), "size", "best_rank")
 
 
-def cluster_pairs(base: DataFrame, current: DataFrame) -> DataFrame:
-    """cur, bas, cosine, jaccard, score of clusters of two runs (cluster, centroid, members).
+def members_of(clusters: DataFrame) -> DataFrame:
+    """cluster, member of clusters that carry their members as an array."""
+    return clusters.select("cluster", F.explode("members").alias("member"))
 
-    Both sides have a row for each cluster (tens of them), so their product is small by construction.
+
+def cluster_pairs(base: DataFrame, current: DataFrame, base_members: DataFrame | None = None, current_members: DataFrame | None = None) -> DataFrame:
+    """cur, bas, cosine, jaccard, score of clusters of two runs.
+
+    Clusters: cluster, centroid; members: cluster, member (or an array ``members`` of the clusters). Overlaps are counted by
+    a join on the member. Pairs are made of at most ``MAX_CLUSTERS`` clusters on each side.
     """
-    c = current.select(F.col("cluster").alias("cur"), F.col("centroid").alias("_cc"), F.array_distinct("members").alias("_cm"))
-    b = base.select(F.col("cluster").alias("bas"), F.col("centroid").alias("_bc"), F.array_distinct("members").alias("_bm"))
-    both = F.size(F.array_intersect("_cm", "_bm"))
-    union = F.size("_cm") + F.size("_bm") - both
-    jaccard = F.when(union > 0, both / union).otherwise(0.0)
-    pairs = c.join(b).select("cur", "bas", vectors.cosine(F.col("_cc"), F.col("_bc")).alias("cosine"), jaccard.alias("jaccard"))
+    bm = (members_of(base) if base_members is None else base_members).select(F.col("cluster").alias("bas"), "member").distinct()
+    cm = (members_of(current) if current_members is None else current_members).select(F.col("cluster").alias("cur"), "member").distinct()
+    both = cm.join(bm, "member").groupBy("cur", "bas").agg(F.count(F.lit(1)).alias("_both"))
+    c = bounded(current, MAX_CLUSTERS, "clusters").select(F.col("cluster").alias("cur"), F.col("centroid").alias("_cc")).join(cm.groupBy("cur").agg(F.count(F.lit(1)).alias("_cn")), "cur", "left")
+    b = bounded(base, MAX_CLUSTERS, "clusters").select(F.col("cluster").alias("bas"), F.col("centroid").alias("_bc")).join(bm.groupBy("bas").agg(F.count(F.lit(1)).alias("_bn")), "bas", "left")
+    pairs = c.join(b).join(both, ["cur", "bas"], "left")
+    shared = F.coalesce("_both", F.lit(0))
+    union = F.coalesce("_cn", F.lit(0)) + F.coalesce("_bn", F.lit(0)) - shared
+    jaccard = F.when(union > 0, shared / union).otherwise(0.0)
+    pairs = pairs.select("cur", "bas", vectors.cosine(F.col("_cc"), F.col("_bc")).alias("cosine"), jaccard.alias("jaccard"))
     return pairs.withColumn("score", 0.5 * F.col("cosine") + 0.5 * F.col("jaccard"))
 
 
@@ -322,11 +338,16 @@ def match(pairs: pd.DataFrame, before: dict, after: dict) -> list[dict]:
     return out + gone
 
 
-def match_clusters(base: DataFrame, current: DataFrame) -> DataFrame:
+def match_clusters(base: DataFrame, current: DataFrame, base_members: DataFrame | None = None, current_members: DataFrame | None = None) -> DataFrame:
     """cluster, base_cluster, change, base_clusters, size_before, size_after. One task: a row for each pair of clusters."""
-    sizes = base.select(F.lit("b").alias("side"), "cluster", F.size("members").alias("n")).union(current.select(F.lit("c").alias("side"), "cluster", F.size("members").alias("n")))
+
+    def sized(side: str, clusters: DataFrame, members: DataFrame | None) -> DataFrame:
+        n = (members_of(clusters) if members is None else members).groupBy("cluster").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        return clusters.select("cluster").join(n, "cluster", "left").select(F.lit(side).alias("side"), "cluster", F.coalesce("n", F.lit(0)).alias("n"))
+
+    sizes = sized("b", base, base_members).union(sized("c", current, current_members))
     sizes = sizes.select(F.col("side"), F.col("cluster").cast("int").alias("cur"), F.lit(None).cast("int").alias("bas"), F.lit(None).cast("double").alias("jaccard"), F.col("n").cast("double").alias("score"))
-    pairs = cluster_pairs(base, current).select(F.lit("p").alias("side"), F.col("cur").cast("int"), F.col("bas").cast("int"), "jaccard", "score")
+    pairs = cluster_pairs(base, current, base_members, current_members).select(F.lit("p").alias("side"), F.col("cur").cast("int"), F.col("bas").cast("int"), "jaccard", "score")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         size = lambda s: {int(r.cur): int(r.score) for r in part[part["side"] == s].itertuples()}

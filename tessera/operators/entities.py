@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, text
-from ..tables import durable
+from ..tables import drop, durable
 
 EXTERNAL = ("arxiv_id", "doi", "s2_id", "openalex_id")
 MIN_TITLE_WORDS = 4
@@ -67,20 +67,34 @@ def title_links(records: DataFrame, id_col: str = "id", keys: Sequence[str] = EX
     return pairs.select(F.col(f"x_{id_col}").alias("a"), F.col(f"y_{id_col}").alias("b"))
 
 
-def components(nodes: DataFrame, links: DataFrame, id_col: str = "id", rounds: int = 60) -> DataFrame:
-    """id, keeper: the smallest id that links reach. Labels spread by minimum, and jump to their own label's label."""
+def title_stars(records: DataFrame, id_col: str = "id", keys: Sequence[str] = EXTERNAL) -> DataFrame:
+    """Links that connect what ``title_links`` connects: records alike in all that it looks at (title, author, year, ids)
+    are linked to their smallest, and pairs are made of these representatives only."""
+    alike = ["norm_title", "author_last", "year", *keys]
+    able = records.where((F.size(F.split("norm_title", " ")) >= MIN_TITLE_WORDS) & (F.col("author_last") != "") & F.col("year").isNotNull())
+    least = durable(able.groupBy(*alike).agg(F.min(id_col).alias(id_col)), "alike")
+    same = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in alike])
+    star = able.select(F.col(id_col).alias("b"), *alike).join(least.select(F.col(id_col).alias("a"), *[F.col(k).alias(f"_{k}") for k in alike]), same)
+    return star.where("a < b").select("a", "b").union(title_links(least, id_col, keys))
+
+
+def components(nodes: DataFrame, links: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, keeper: the smallest id that links reach. Labels spread by minimum, and jump to their own label's label, until none moves."""
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = durable(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("keeper")), "labels")
-    for step in range(rounds):
+    written, step = labels, 0
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("keeper").alias("_k")), "b").groupBy(F.col("a").alias("id")).agg(F.min("_k").alias("_near"))
         new = labels.join(near, "id", "left").select("id", F.col("keeper").alias("_old"), F.least("keeper", "_near").alias("keeper"))
         jump = labels.select(F.col("id").alias("keeper"), F.col("keeper").alias("_next"))
         new = durable(new.join(jump, "keeper", "left").select("id", "_old", F.least("keeper", "_next").alias("keeper")), f"labels{step}")
         done = new.where("keeper <> _old").isEmpty()
         labels = new.select("id", "keeper")
+        drop(written)
+        written, step = new, step + 1
         if done:
-            break
-    return labels
+            drop(both)
+            return labels
 
 
 def resolve(records: DataFrame, id_col: str = "id") -> DataFrame:
@@ -88,7 +102,7 @@ def resolve(records: DataFrame, id_col: str = "id") -> DataFrame:
     by_id = components(records, id_links(records, id_col), id_col)
     rows = records.join(by_id.withColumnRenamed("id", id_col), id_col)
     fold = rows.groupBy("keeper").agg(*[F.min(k).alias(k) for k in EXTERNAL], F.min_by("norm_title", id_col).alias("norm_title"), F.min_by("author_last", id_col).alias("author_last"), F.min("year").alias("year"))
-    by_title = components(fold, title_links(fold, "keeper"), "keeper").select(F.col("id").alias("keeper"), F.col("keeper").alias("_final"))
+    by_title = components(fold, title_stars(fold, "keeper"), "keeper").select(F.col("id").alias("keeper"), F.col("keeper").alias("_final"))
     return by_id.join(by_title, "keeper").select(F.col("id").alias(id_col), F.col("_final").alias("keeper"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import durable
+from ..tables import drop, durable
 from .vector_search import similar_pairs
 
 KINDS = ("cites", "builds_on", "similar")
@@ -35,6 +35,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, t
         return ids.withColumn("rank", F.lit(0.0))
     out = links.select(F.col("src").alias("id")).distinct().withColumn("_out", F.lit(True))
     ranks = durable(ids.join(out, "id", "left").select("id", F.coalesce("_out", F.lit(False)).alias("_out"), F.lit(1 / n).alias("rank")), "rank0")
+    written = ranks
     for step in range(iterations):
         dangling = ranks.where("NOT _out").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         flow = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("_share")).alias("_in"))
@@ -43,6 +44,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, t
         new = durable(new, f"rank{step + 1}")
         total, change = new.agg(F.sum("rank"), F.sum(F.abs(F.col("rank") - F.col("_old")))).first()
         ranks = new.select("id", "_out", (F.col("rank") / total).alias("rank"))
+        drop(written)
+        written = new
         if change < tolerance:
             break
     return ranks.select("id", "rank")

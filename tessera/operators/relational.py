@@ -20,6 +20,13 @@ def whole():
     return W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df`` if it has at most ``most`` rows, else an error: what is packed into one row or broadcast has a checked size."""
+    if df.select(F.lit(1)).limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return df
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key. The rows of a key meet through a pre-aggregated minimum, not a sorted group.
 

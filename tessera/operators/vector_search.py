@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .relational import bounded
 
 BLOCK_ROWS = 4096
+MAX_REFS = 4096  # reference vectors or centroids that travel to each task
 
 
 def related(rows: DataFrame, query: Column, k: int = 5, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -27,27 +29,34 @@ def related(rows: DataFrame, query: Column, k: int = 5, id_col: str = "id", vec_
 def max_cosine(rows: DataFrame, refs: DataFrame, id_col: str = "id", vec_col: str = "embedding", ref_col: str = "embedding") -> DataFrame:
     """id, best cosine to a small set of reference vectors (a topic and its queries); without any, 0.
 
-    The references become one array, so each row is compared in place: no join grows with rows times references.
+    The references (at most ``MAX_REFS``) become one array, so each row is compared in place.
     """
-    packed = refs.agg(F.collect_list(ref_col).alias("_refs"))
-    joined = rows.join(F.broadcast(packed))  # one row: a topic and at most a dozen queries
+    packed = bounded(refs, MAX_REFS, "reference vectors").agg(F.collect_list(ref_col).alias("_refs"))
+    joined = rows.join(F.broadcast(packed))  # one row
     best = F.array_max(F.transform("_refs", lambda r: vectors.cosine(F.col(vec_col), r)))
     return joined.select(id_col, F.coalesce(best, F.lit(0.0)).alias("cosine"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b, cosine of the ordered pairs a <> b at or above the threshold.
+def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """a, b, cosine of the ordered pairs a <> b at or above the threshold; a is of ``queries`` (all rows without them).
 
-    Rows are dealt by hash into blocks of about ``block_rows``. Each block meets each other block once in one task (as
-    two sides of a cogroup), so a task holds two blocks whatever the number of rows.
+    Rows and queries are dealt by hash into blocks of about ``block_rows``. Each block of queries meets each block of rows
+    once in one task (as two sides of a cogroup), so a task holds two blocks whatever the number of rows. With ``top`` a
+    task gives each query's ``top`` best rows of its block only, with all that tie with the last. The search is exact; its
+    work is rows times queries.
     """
     kind = dict(rows.dtypes)[id_col]
-    base = rows.where(F.size(vec_col) > 0).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    n = max(1, -(-base.count() // block_rows))
-    base = base.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumn("_o", others).select(F.col("_b").alias("i"), F.col("_o").alias("j"), "id", "v")
-    right = base.withColumn("_o", others).select(F.col("_o").alias("i"), F.col("_b").alias("j"), F.col("id").alias("other"), F.col("v").alias("w"))
+
+    def dealt(df: DataFrame) -> tuple[DataFrame, int]:
+        base = df.where(F.size(vec_col) > 0).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+        n = max(1, -(-base.count() // block_rows))
+        return base.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+    base, n = dealt(rows)
+    asked, m = (base, n) if queries is None else dealt(queries)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.withColumn("_o", every(n)).select(F.col("_b").alias("i"), F.col("_o").alias("j"), "id", "v")
+    right = base.withColumn("_o", every(m)).select(F.col("_o").alias("i"), F.col("_b").alias("j"), F.col("id").alias("other"), F.col("v").alias("w"))
 
     def unit(part: pd.Series) -> np.ndarray:
         m = np.array(part.tolist(), dtype=float)
@@ -63,19 +72,22 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vec_col
         ia, ib = a["id"].to_numpy(), b["other"].to_numpy()
         for at in range(0, len(x), 512):
             c = x[at : at + 512] @ y.T
-            p, q = np.nonzero(c >= threshold)
-            keep = ia[at + p] != ib[q]
-            out.append(pd.DataFrame({"a": ia[at + p[keep]], "b": ib[q[keep]], "cosine": c[p[keep], q[keep]]}))
+            c[ia[at : at + 512, None] == ib[None, :]] = -9
+            least = np.full(len(c), threshold)
+            if top and c.shape[1] > top:
+                least = np.maximum(least, np.partition(c, -top, axis=1)[:, -top])
+            p, q = np.nonzero((c >= least[:, None]) & (c > -9))
+            out.append(pd.DataFrame({"a": ia[at + p], "b": ib[q], "cosine": c[p, q]}))
         return pd.concat(out) if out else empty
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"a {kind}, b {kind}, cosine double")
 
 
-def nearest(rows: DataFrame, threshold: float, k: int, id_col: str = "id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b, cosine of each row's ``k`` nearest others at or above the threshold; ties by id."""
+def nearest(rows: DataFrame, threshold: float, k: int, id_col: str = "id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None) -> DataFrame:
+    """a, b, cosine of the ``k`` rows nearest to each of ``queries`` (all rows without them) at or above the threshold; ties by id."""
     from .relational import top_per_group
 
-    return top_per_group(similar_pairs(rows, threshold, id_col, vec_col, block_rows), k, ["a"], F.desc("cosine"), F.col("b"))
+    return top_per_group(similar_pairs(rows, threshold, id_col, vec_col, block_rows, queries, k), k, ["a"], F.desc("cosine"), F.col("b"))
 
 
 def centroids(rows: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding") -> DataFrame:
@@ -88,13 +100,24 @@ def centroids(rows: DataFrame, cluster_col: str = "cluster", vec_col: str = "emb
 
 
 def assign(rows: DataFrame, centroid_rows: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """id, cluster, similarity of the nearest centroid (lowest cluster on ties). The centroids (k of them) travel as one row."""
-    packed = centroid_rows.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("_c"))
-    joined = rows.join(F.broadcast(packed))  # one row of k centroids
-    unit = vectors.normalize(F.col(vec_col))
-    scored = F.transform("_c", lambda c: F.struct(vectors.dot(unit, c["centroid"]).alias("s"), (-c["cluster"]).alias("n"), c["cluster"].alias("cluster")))
-    best = F.array_max(scored)
-    return joined.select(id_col, best["cluster"].alias("cluster"), best["s"].alias("similarity"))
+    """id, cluster, similarity of the nearest centroid (lowest cluster on ties).
+
+    At most ``MAX_REFS`` centroids travel to the tasks as one matrix; batches of rows are multiplied with it.
+    """
+    found = bounded(centroid_rows, MAX_REFS, "centroids").select("cluster", "centroid").orderBy("cluster").collect()
+    numbers, matrix = [r["cluster"] for r in found], np.array([r["centroid"] for r in found], dtype=float)
+    kinds, of = dict(rows.dtypes), dict(centroid_rows.dtypes)["cluster"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = np.array(part["v"].tolist(), dtype=float).reshape(len(part), -1)
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            s = np.divide(x, size, out=np.zeros_like(x), where=size > 0) @ matrix.T
+            best = s.argmax(axis=1)
+            yield pd.DataFrame({id_col: part["id"], "cluster": [numbers[i] for i in best], "similarity": s[np.arange(len(s)), best]})
+
+    given = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return given.mapInPandas(run, f"`{id_col}` {kinds[id_col]}, cluster {of}, similarity double")
 
 
 def cosine_matrix_blocks(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:

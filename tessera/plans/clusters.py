@@ -90,24 +90,21 @@ def _two_runs(spark, d):
     v = _vectors(spark, d)
     w = v.withColumn("cluster", F.when(F.col("id") % 4 == 0, (F.col("cluster") + 1) % 10).otherwise(F.col("cluster")))
 
-    def side(x):
-        return vector_search.centroids(x).join(x.groupBy("cluster").agg(F.collect_list("id").alias("members")), "cluster").select("cluster", "centroid", "members")
-
-    return side(v), side(w)
+    side = lambda x: (vector_search.centroids(x).select("cluster", "centroid"), x.select("cluster", F.col("id").alias("member")))
+    (base, base_members), (current, current_members) = side(v), side(w)
+    return base, current, base_members, current_members
 
 
 @query("cluster_pair_jaccard", f"WITH {_PAIRS} SELECT c.cluster AS cur, b.cluster AS bas, round(len(list_intersect(c.ids, b.ids)) / (len(c.ids) + len(b.ids) - len(list_intersect(c.ids, b.ids))), 6) AS jaccard, round(list_cosine_similarity(c.s, b.s), 6) AS cosine FROM f c, f b WHERE c.side = 'c' AND b.side = 'b'")
 def cluster_pair_jaccard(spark, d):
     """JOI-13, SET-03, CLU-07."""
-    base, current = _two_runs(spark, d)
-    return clustering.cluster_pairs(base, current).select("cur", "bas", six("jaccard").alias("jaccard"), six("cosine").alias("cosine"))
+    return clustering.cluster_pairs(*_two_runs(spark, d)).select("cur", "bas", six("jaccard").alias("jaccard"), six("cosine").alias("cosine"))
 
 
 @query("cluster_change_class")
 def cluster_change_class(spark, d):
     """CLU-07, DIF-01, RMD-06: stable, grew, shrank, split, merged, new, gone."""
-    base, current = _two_runs(spark, d)
-    return clustering.match_clusters(base, current)
+    return clustering.match_clusters(*_two_runs(spark, d))
 
 
 _HALF = "b AS (SELECT l_partkey AS id, count(*) AS cites FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1), c AS (SELECT l_partkey AS id, count(*) AS cites FROM lineitem GROUP BY 1)"

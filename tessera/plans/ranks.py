@@ -91,26 +91,9 @@ def cosine_pairs(spark, d):
     SELECT a, b, round(c, 5) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 3""")
 def nearest_top3(spark, d):
     """TOP-02: a stated set of queries (every fiftieth row) against all rows."""
-    import numpy as np
-
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = e.where("id % 50 = 0").orderBy("id").collect()
-    ids, q = np.array([r["id"] for r in asked]), np.array([r["embedding"] for r in asked], dtype=float)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-    def run(parts):
-        for part in parts:
-            x = np.array(part["embedding"].tolist(), dtype=float)
-            c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
-            own = part["id"].to_numpy()
-            c[own[:, None] == ids[None, :]] = -9
-            keep = np.argsort(-c, axis=0, kind="stable")[:8]
-            yield pd.DataFrame({"a": np.repeat(ids, len(keep)), "b": own[keep.T.ravel()], "cosine": c.T[np.repeat(np.arange(len(ids)), len(keep)), keep.T.ravel()]})
-
-    from ..operators.relational import top_per_group
-
-    near = e.mapInPandas(run, "a long, b long, cosine double").where("a <> b")
-    return top_per_group(near, 3, ["a"], F.desc("cosine"), F.col("b")).select("a", "b", F.round("cosine", 5).alias("cosine"))
+    near = vector_search.nearest(e, -1.1, 3, queries=e.where("id % 50 = 0"))
+    return near.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query("max_cosine_refs", "SELECT e.vec_id AS id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id < 5 GROUP BY e.vec_id")
@@ -209,10 +192,10 @@ def rerank_reuse(spark, d):
 
 @query("select_papers_mmr")
 def select_papers_mmr(spark, d):
-    """RNK-07: greedy selection with reserves, for each nation as a search of its own."""
+    """RNK-07: greedy selection with reserves; a search has at most 300 candidates."""
     p = papers(spark, d).where("published_at IS NOT NULL")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    rows = p.join(e, "id", "left").select((F.col("id") % 10).alias("search_id"), "id", F.when(F.col("id") % 3 != 0, (F.col("id") % 89) / 89.0).alias("rerank"), (1.0 / (60 + F.col("id"))).alias("rrf"), "cites", "published_at", "embedding", "title", F.col("id").alias("pos"))
+    rows = p.join(e, "id", "left").select(F.floor(F.col("id") / 300).alias("search_id"), "id", F.when(F.col("id") % 3 != 0, (F.col("id") % 89) / 89.0).alias("rerank"), (1.0 / (60 + F.col("id"))).alias("rrf"), "cites", "published_at", "embedding", "title", F.col("id").alias("pos"))
     out = ranking.select_papers(rows, NOW, 40, 8, 6)
     return out.select("search_id", "id", "selected", "final_rank", "reason", six("score").alias("score"))
 

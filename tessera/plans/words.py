@@ -276,7 +276,7 @@ def cost_model(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("job"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     kinds = e.select("event_type").distinct()
     best = kinds.join(F.broadcast(prices), kinds["event_type"].startswith(prices["prefix"])).groupBy("event_type").agg(F.max_by(F.struct("p_in", "p_out"), F.length("prefix")).alias("p"))
-    e = e.join(F.broadcast(best), "event_type")
+    e = e.join(best, "event_type")
     k = F.col("k")
     return e.groupBy("job").agg(F.round(F.sum(numbers.cost_usd(k, k, k * 3, k * 2, F.col("p.p_in"), F.col("p.p_out"))), 8).alias("usd"))
 
