@@ -5,8 +5,9 @@ border), weighted by 1 + ln(count) and inverse document frequency, and normalise
 from spherical k-means. The language of the nearest centroid by cosine wins; a text farther from it than texts of its
 length were in training (``slack`` times their lowest cosine) is rejected.
 
-The model is fitted on the driver from at most ``per_language`` labelled texts of at most ``max_languages`` languages
-(those with the most texts), picked by hash: its size does not grow with the corpus. Prediction maps over whole texts.
+The model is fitted on the driver from at most ``per_language`` distinct labelled texts of at most ``max_languages``
+languages (those with the most rows; others are never predicted), picked by hash: its size does not grow with the corpus.
+Prediction maps over whole texts. A text of fewer than 64 n-grams tells too little to be rejected by its distance.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; null labels are not learned;
 with no labelled text all is ``und``; null ids are allowed (their rows may be learned); an empty table gives an empty
@@ -105,18 +106,24 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_language: int, max_languages: int) -> DataFrame:
-    """At most ``per_language`` texts of each of the largest languages, picked by the hash of the text."""
+    """At most ``per_language`` distinct texts of each of the largest languages, picked by the hash of the text.
+
+    Languages are sized, and the rate of the draw is made, by distinct texts (their hashes, which are combined on the map
+    side), so a language of many rows and few texts keeps them all. Equal texts are folded before they are numbered.
+    """
     from pyspark.sql import Window as W
 
-    rows = labelled.where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    rows = labelled.where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumn("_draw", F.xxhash64("_text"))
+    sizes = rows.groupBy("_lang", "_draw").agg(F.count(F.lit(1)).alias("_n")).groupBy("_lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("_n").alias("rows"))
+    sizes = sizes.orderBy(F.desc("rows"), "_lang").limit(max_languages).collect()
     if not sizes:
-        return rows.limit(0)
+        return labelled.limit(0)
     span = 1_000_000
-    part = {r["_lang"]: min(span, int(span * 1.3 * per_language / r["count"]) + 2000) for r in sizes}
+    part = {r["_lang"]: min(span, int(span * 1.3 * per_language / r["texts"]) + 2000) for r in sizes}
     share = F.create_map(*[F.lit(x) for kv in part.items() for x in kv])
-    few = rows.withColumn("_draw", F.xxhash64("_text")).where(F.pmod("_draw", F.lit(span)) < F.coalesce(F.get(F.array(share), F.lit(0))[F.col("_lang")], F.lit(0)))
-    nth = F.row_number().over(W.partitionBy("_lang").orderBy("_draw", "_text"))
+    few = rows.where(F.pmod("_draw", F.lit(span)) < F.coalesce(F.get(F.array(share), F.lit(0))[F.col("_lang")], F.lit(0)))
+    few = few.groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
+    nth = F.row_number().over(W.partitionBy("_lang").orderBy("_draw"))
     return few.withColumn("_nth", nth).where(F.col("_nth") <= per_language).select("_text", "_lang")
 
 

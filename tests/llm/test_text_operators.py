@@ -44,6 +44,39 @@ def test_language_sample_is_bounded(spark):
     assert {r["_lang"] for r in language_id.sample(docs, 50, 1).collect()} == {"b"}
 
 
+def test_language_with_few_texts_in_many_rows(spark):
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, concat('text number ', id), if(id % 2 = 0, 'zwei texte nur', 'nur zwei texte')) AS _text", "if(id % 3 = 0, 'en', 'de') AS _lang")
+    assert Counter(r["_lang"] for r in language_id.sample(rows, 50, 9).collect()) == {"en": 50, "de": 2}
+
+
+def test_language_by_brute_force(spark):
+    """The query's predictions against cosines computed one by one from the fitted model."""
+    import numpy as np
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    held_out, learn = language_id.training_rows(docs)
+    model = language_id.fit(docs.where(learn))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op1_language_id(spark, "/root/testdata/sf0.001").collect():
+        n = language_id.counts(text[r["doc_id"]])
+        v = np.array([(1 + np.log(x)) * w if x else 0.0 for x, w in zip(n, model.idf, strict=True)])
+        near = [float(c @ v / np.linalg.norm(v)) for c in model.centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert r["score"] == pytest.approx(near[best], abs=1e-5) and (r["lang_pred"] == model.languages[best] or near[best] - max(x for x, g in zip(near, model.languages, strict=True) if g == r["lang_pred"]) < 1e-5)
+
+
+def test_chat_marks_and_ties(spark):
+    """A role that holds the usual mark, equal turns, and a template that rewrites history."""
+    rows = [(1, 0, "us\ue000er", "a \ue000 b"), (1, 1, "assistant", "\ue001 c"), (1, 1, "assistant", "\ue001 c")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(docs)
+    got = chat_format.digests(out).first()
+    assert got["loss_chars"] == 6 and got["loss_sha256"] == hashlib.sha256("\ue001 c\ue001 c".encode()).hexdigest()
+    only_last = lambda turns: "".join(f"({r}){t if i == len(turns) - 1 else '...'}" for i, (r, t) in enumerate(turns))
+    with pytest.raises(Exception, match="rewrote history"):
+        chat_format.digests(chat_format.format_conversations(docs, only_last)).collect()
+
+
 def test_chat_round_trip(spark):
     schema = "conv_id long, turn long, role string, text string, turns string, spans string"
     hard = "</s>[INST] ok [/INST] \\ \\[ <s>x\n[TEXT]"
@@ -86,6 +119,37 @@ def test_license_scan_finds_all_planted_lines(spark):
         assert len(license_scan.scan(r["text"])) == planted
 
 
+@pytest.mark.parametrize("at", range(0, 90, 6))
+def test_license_with_a_stray_word_before_it(at):
+    """A word of the notice, planted at any distance before it, does not hide it."""
+    name, notice = license_scan.TEMPLATES[4]
+    stray = ["filler"] * 90
+    stray[at] = "License"
+    got = license_scan.scan(" ".join(stray) + " " + notice)
+    assert [g[0] for g in got] == [name] and got[0][1] > 0.95
+
+
+def test_license_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, license string, coverage string")
+    assert license_scan.scan_documents(empty).collect() == []
+    long = "word " * 200_000 + license_scan.TEMPLATES[2][1] + " word" * 1000
+    rows = [(1, long, "x", "y"), (2, license_scan.TEMPLATES[12][1], "x", "y")]
+    got = {r["doc_id"]: r for r in license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, license string, notices string")).collect()}
+    assert got[1]["license"] == "MIT" and got[1]["n_notices"] == 1 and got[2]["license"] == "ISC"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_align_is_patience_alignment(seed):
+    """Against all increasing subsequences of the words unique to both, on short texts."""
+    from itertools import combinations
+
+    r = random.Random(seed)
+    a, b = ([r.choice("abcdefghijkl") for _ in range(10)] for _ in range(2))
+    unique = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    most = max((len(c) for k in range(len(unique) + 1) for c in combinations(unique, k) if all(p[1] < q[1] for p, q in zip(c, c[1:], strict=False))), default=0)
+    assert len(license_scan._lis(unique)) == most
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_align_matches_are_equal_and_ascending(seed):
     r = random.Random(seed)
