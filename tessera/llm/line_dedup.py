@@ -8,8 +8,8 @@ punctuation at their ends, white space and line breaks alike) and named by a dig
 occurrence that ranks first (by id, then place) stays; the words of the others are removed, with their offsets in the
 original text. A passage is thus found whole but for the phrases that its ends cut, if the whole ones hold ``min_words``.
 
-Scale: the first pass shuffles 64-bit digests and counts them, combined on the map side. The second pass sends on only
-runs whose digest occurs again, with id and place; the join may be split where a run is hot. No group is gathered but the
+Scale: the texts are read once, and the runs written. 64-bit digests are shuffled and counted, combined on the map side.
+Only runs whose digest occurs again go on, with id and place; the join may be split where a run is hot. No group is gathered but the
 removed runs of one document. The text itself is shuffled once, to meet its removed runs.
 
 Defined results: null and empty texts have no runs and are kept as they are; a null id ranks first; rows that share an id
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import drop
 from .common import durable, map_arrow
 
 MIN_WORDS = 30
@@ -76,13 +77,13 @@ def _powers(factor: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def runs(text: str | None, min_words: int = MIN_WORDS, places: bool = True) -> tuple[np.ndarray, ...]:
-    """Digest (64 bits, signed) of the runs of a text; with ``places`` also first word, number of words, 32 bits more."""
+def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest (64 bits, signed), first word, number of words, and 32 more bits of the digest of the runs of a text."""
     words = (text or "").lower().split()
     n = len(words)
     if n < min_words:
         none = np.empty(0, dtype=np.int64)
-        return (none, none, none, none.astype(np.int32)) if places else (none,)
+        return none, none, none, none.astype(np.int32)
     h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
     ends = np.flatnonzero((h & np.uint64(1)).astype(bool)) + 1
     if not len(ends) or ends[-1] < n:
@@ -97,40 +98,38 @@ def runs(text: str | None, min_words: int = MIN_WORDS, places: bool = True) -> t
     whole = last < len(ends)
     a, b = starts[whole], ends[last[whole]]
     digests = []
-    for factor in _FACTORS[: 1 + places]:
+    for factor in _FACTORS:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((h >> np.uint64(1)) * _powers(factor, n), dtype=np.uint64, out=sums[1:])
         digests.append(_mixed((sums[b] - sums[a]) * _powers(pow(factor, -1, 2**64), n)[a]).view(np.int64))
-    return (digests[0], a, b - a, (digests[1] >> 32).astype(np.int32)) if places else (digests[0],)
+    return digests[0], a, b - a, (digests[1] >> 32).astype(np.int32)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, min_words: int, places: bool) -> DataFrame:
-    """_d of each run; with ``places`` also _c, _id, _h (which tells rows apart that share an id), _from, _n."""
-    names = ["_d", "_c", "_id", "_h", "_from", "_n"] if places else ["_d"]
+def _digests(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """_d, _c (the digest), _id, _h (which tells rows apart that share an id), _from, _n of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [runs(x.as_py(), min_words, places) for x in b.column(2)]
-            each = [np.concatenate(c) for c in zip(*got, strict=True)]
-            columns = [pa.array(each[0])]
-            if places:
-                at = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
-                columns += [pa.array(each[3]), b.column(0).take(at), b.column(1).take(at), pa.array(each[1].astype(np.int32)), pa.array(each[2].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            got = [runs(x.as_py(), min_words) for x in b.column(2)]
+            d, first, n, c = (np.concatenate(x) for x in zip(*got, strict=True))
+            at = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            columns = [pa.array(d), pa.array(c), b.column(0).take(at), b.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_d", "_c", "_id", "_h", "_from", "_n"])
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "_d long, _c int, _id long, _h long, _from int, _n int" if places else "_d long")
+    return map_arrow(_rows(docs, id_col, text_col), run, "_d long, _c int, _id long, _h long, _from int, _n int")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each run to be removed: _id, _h (hash of the text), _from (first word), _n (words)."""
-    often = _digests(docs, id_col, text_col, min_words, False).groupBy("_d").agg(F.count(F.lit(1)).alias("_times"))
-    often = durable(often.where("_times > 1").select("_d"), "often")
+    found = durable(_digests(docs, id_col, text_col, min_words), "runs")
+    often = durable(found.groupBy("_d").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_d"), "often")
     # ``often`` and ``first`` have no bound, so they are never broadcast: the plan is the same at every size.
-    met = durable(_digests(docs, id_col, text_col, min_words, True).join(often.hint("merge"), "_d", "left_semi"), "met")
+    met = durable(found.join(often.hint("merge"), "_d", "left_semi"), "met")
+    drop(found)
     first = met.groupBy("_d", "_c").agg(F.min(F.struct("_id", "_h", "_from")).alias("_first"), F.count(F.lit(1)).alias("_times"))
     first = durable(first.where("_times > 1"), "first")  # as a table, so that Spark may split the join where a run is hot
     both = met.join(first.hint("merge"), ["_d", "_c"])
