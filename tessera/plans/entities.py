@@ -23,7 +23,14 @@ def _records(spark, d):
     return entities.normalize_records(raw)
 
 
-@query("upsert_resolve")
+_SAME_ID = "l AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id <> b.id AND a.s2_id = b.s2_id UNION SELECT a.id, b.id FROM r a JOIN r b ON a.id <> b.id AND a.doi = b.doi)"
+
+
+@query("upsert_resolve", f"""WITH RECURSIVE {_RECORDS}, {_SAME_ID}, reach(id, cur) AS (SELECT id, id FROM r UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.cur), k AS (SELECT id, min(cur) AS keeper FROM reach GROUP BY id),
+    f AS (SELECT keeper AS id, min(s2_id) AS s2_id, min(doi) AS doi, arg_min(title, r.id) AS title, min(year) AS year FROM r JOIN k ON k.id = r.id GROUP BY keeper),
+    t AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id <> b.id AND a.title = b.title AND a.id % 2 = b.id % 2 AND abs(a.year - b.year) <= 1 WHERE (a.s2_id IS NULL OR b.s2_id IS NULL OR a.s2_id = b.s2_id) AND (a.doi IS NULL OR b.doi IS NULL OR a.doi = b.doi)),
+    again(id, cur) AS (SELECT id, id FROM f UNION SELECT again.id, t.b FROM again JOIN t ON t.a = again.cur), last AS (SELECT id, min(cur) AS keeper FROM again GROUP BY id)
+    SELECT k.id, last.keeper FROM k JOIN last ON last.id = k.keeper""")
 def upsert_resolve(spark, d):
     """DML-01, JOI-08, JOI-09: records of one work and their keeper."""
     return entities.resolve(_records(spark, d))

@@ -287,7 +287,7 @@ def sha_keys(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("source_hash"), web.cache_key(F.lit("api"), F.lit("GET"), F.col("source"), F.lit(None).cast("string")).alias("cache_key"))
 
 
-@query("seed_hashes")
+@query("seed_hashes", "SELECT p_partkey AS id, CAST(list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS BIGINT) AS seed FROM part")
 def seed_hashes(spark, d):
     """HSH-02: 32-bit FNV-1a."""
     from ..operators.clustering import hash_seed
