@@ -193,6 +193,27 @@ def foreign_requests(spark, d):
     return e.select(F.col("event_id").alias("id"), batches.foreign_request(method, site, origin, F.lit("localhost:3000")).alias("refused"))
 
 
+@query("entries_patched", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'PATCHED' ELSE c_mktsegment END AS category, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 2 THEN 'pending' ELSE 'done' END AS status FROM customer WHERE c_nationkey <> 3")
+def entries_patched(spark, d):
+    """API-02: given fields replace stored ones, deleted entries go, reingested ones start anew."""
+    from ..operators import relational as rel
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("title"), F.lit("done").alias("status"), "c_nationkey")
+    patches = c.where("id % 3 = 1").select("id", F.lit("PATCHED").alias("category"), F.lit(None).cast("string").alias("title"))
+    kept = rel.update_where_given(c, patches, ["id"], ["category", "title"]).join(c.where("c_nationkey = 3").select("id"), "id", "left_anti")
+    anew = F.col("id") % 3 == 2
+    return kept.select("id", "category", F.when(~anew, F.col("title")).alias("title"), F.when(anew, "pending").otherwise(F.col("status")).alias("status"))
+
+
+@query("capped_bytes", "SELECT page_id AS id, CAST(least(strlen(html), 4096) AS INTEGER) AS bytes, strlen(html) > 4096 AS refused FROM pages")
+def capped_bytes(spark, d):
+    """SRC-24: at most so many bytes of a payload are read; a longer one is refused."""
+    p = table(spark, d, "pages")
+    size = F.octet_length("html")
+    head = F.substring(F.col("html").cast("binary"), 1, 4096)
+    return p.select(F.col("page_id").alias("id"), F.octet_length(head).alias("bytes"), (size > 4096).alias("refused"))
+
+
 @query("capabilities", "SELECT (SELECT count(*) > 0 FROM embeddings) AS vectors, (SELECT count(*) > 0 FROM pages) AS pages, (SELECT count(*) FROM documents WHERE false) > 0 AS fulltext")
 def capabilities(spark, d):
     """API-10: which parts of the engine have data to work on."""

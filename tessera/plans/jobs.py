@@ -63,6 +63,35 @@ def host_spacing(spark, d):
     return jobs.spacing(table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("host")), 3100)
 
 
+@query("penalty_intervals", """WITH e AS (SELECT event_id, user_id AS host, event_type = 'error' AS refused, epoch_us(ts) // 1000 AS t, ts FROM events),
+    l AS (SELECT *, max(CASE WHEN refused THEN t END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(CASE WHEN refused THEN t END) OVER (w ROWS UNBOUNDED PRECEDING) AS last FROM e WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN refused AND (before IS NULL OR t - before > 600000) THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM l),
+    n AS (SELECT *, sum(refused::INT) OVER (PARTITION BY host, spell ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level FROM s)
+    SELECT event_id, host, CAST(CASE WHEN last IS NOT NULL AND t - last <= 600000 THEN greatest(3100, least(60000, 3100 * 2 ** least(16, level))) ELSE 3100 END AS BIGINT) AS interval_ms FROM n""")
+def penalty_intervals(spark, d):
+    """SRC-23, STR-07: spacing doubles with each refusal and falls back after ten minutes."""
+    e = table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("host"), (F.col("event_type") == "error").alias("refused"))
+    return jobs.penalty_intervals(e, 3100, 60000)
+
+
+@query("search_actions", """SELECT o_orderkey AS id, s AS status, s IN ('queued', 'running') AS can_cancel, s IN ('error', 'cancelled', 'interrupted') AS can_resume,
+    CASE WHEN s IN ('queued', 'running') THEN 'cancelled' WHEN s IN ('error', 'cancelled', 'interrupted') THEN 'queued' ELSE s END AS after FROM (SELECT o_orderkey, ['queued', 'running', 'done', 'error', 'cancelled', 'interrupted'][o_orderkey % 6 + 1] AS s FROM orders)""")
+def search_actions(spark, d):
+    """API-08: what may be cancelled or resumed, and the status that it then has."""
+    s = F.element_at(F.array(*map(F.lit, ("queued", "running", "done", "error", "cancelled", "interrupted"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), s.alias("status"))
+    return jobs.with_actions(rows)
+
+
+@query("search_requests", """WITH r AS (SELECT o_orderkey AS id, o_custkey AS topic, o_orderdate AS asked, o_orderstatus = 'O' AS active FROM orders),
+    w AS (SELECT *, count(*) FILTER (WHERE active) OVER (PARTITION BY topic ORDER BY asked, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy, max(CASE WHEN NOT active THEN asked END) OVER (PARTITION BY topic ORDER BY asked, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM r)
+    SELECT id, busy = 0 AS accepted, CASE WHEN base IS NULL THEN 'full' ELSE 'refresh' END AS kind, base - INTERVAL 14 DAY AS since FROM w""")
+def search_requests(spark, d):
+    """API-07: a topic takes one search at a time; a later one refreshes from two weeks before the last that ended."""
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("topic"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") == "O").alias("active"))
+    return jobs.search_requests(r)
+
+
 @query("job_concurrency", """WITH j AS (SELECT o_orderkey AS job, o_orderdate AS s, o_orderdate + INTERVAL 5 DAY AS e FROM orders), x AS (SELECT job, s AS t, 1 AS d FROM j UNION ALL SELECT job, e, -1 FROM j)
     SELECT job, running FROM (SELECT job, d, CAST(sum(d) OVER (ORDER BY t, d, job) AS BIGINT) AS running FROM x) WHERE d = 1""")
 def job_concurrency(spark, d):

@@ -45,6 +45,21 @@ def illegal_transitions(events: DataFrame, key: str = "job", start: str = "queue
     return rows.where(~allowed).select("event_id", key, F.col("_from").alias("from_status"), "status")
 
 
+def with_actions(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Add can_cancel, can_resume, and after: the status once that is done."""
+    cancel, resume = F.col(status).isin("queued", "running"), F.col(status).isin("error", "cancelled", "interrupted")
+    return rows.withColumns({"can_cancel": cancel, "can_resume": resume, "after": F.when(cancel, "cancelled").when(resume, "queued").otherwise(F.col(status))})
+
+
+def search_requests(requests: DataFrame) -> DataFrame:
+    """id, accepted, kind, since. requests: id, topic, at, active. Refused while another search of the topic is active;
+    a refresh if one ended before, which then looks back from it by the overlap."""
+    before = W.partitionBy("topic").orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
+    base = F.max(F.when(~F.col("active"), F.col("at"))).over(before)
+    rows = requests.withColumn("_busy", F.count(F.when(F.col("active"), 1)).over(before)).withColumn("_base", base)
+    return rows.select("id", (F.col("_busy") == 0).alias("accepted"), F.when(F.col("_base").isNull(), "full").otherwise("refresh").alias("kind"), (F.col("_base") - F.expr(f"INTERVAL {OVERLAP_DAYS} DAY")).alias("since"))
+
+
 def usage_totals(events: DataFrame, key: str = "job") -> DataFrame:
     """Running sums for each job; in a stream, in update mode."""
     return events.groupBy(key).agg(F.sum("cost").alias("cost"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls"))
@@ -94,6 +109,27 @@ def spacing(events: DataFrame, interval_ms: int, key: str = "host") -> DataFrame
     return rows.select("event_id", key, (F.max("_base").over(over) + F.col("_n") * interval_ms).alias("start_ms"))
 
 
+# How long a refusal counts, and the most refusals that double the spacing.
+PENALTY_DECAY_MS, MOST_PENALTIES = 10 * 60_000, 16
+
+
+def penalty_intervals(events: DataFrame, base_ms: int, most_ms: int, key: str = "host") -> DataFrame:
+    """event_id, key, interval_ms: the spacing after each event, doubled for each refusal (``refused``) of the last while.
+
+    Refusals that follow each other within the decay time add up; after a longer pause they start anew.
+    """
+    over = W.partitionBy(key).orderBy("ts", "event_id")
+    rows = events.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp")))
+    hit = F.when(F.col("refused"), F.col("_t"))
+    rows = rows.withColumn("_before", F.max(hit).over(over.rowsBetween(W.unboundedPreceding, -1))).withColumn("_last", F.max(hit).over(over))
+    fresh = F.col("refused") & (F.col("_before").isNull() | (F.col("_t") - F.col("_before") > PENALTY_DECAY_MS))
+    rows = rows.withColumn("_spell", F.sum(fresh.cast("int")).over(over))
+    level = F.least(F.lit(MOST_PENALTIES), F.sum(F.col("refused").cast("int")).over(W.partitionBy(key, "_spell").orderBy("ts", "event_id")))
+    doubled = F.greatest(F.lit(base_ms), F.least(F.lit(most_ms), base_ms * F.pow(F.lit(2), level)))
+    active = F.col("_last").isNotNull() & (F.col("_t") - F.col("_last") <= PENALTY_DECAY_MS)
+    return rows.select("event_id", key, F.when(active, doubled).otherwise(F.lit(base_ms)).cast("long").alias("interval_ms"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", *by: str) -> DataFrame:
     w = F.window("ts", width)
     return events.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
