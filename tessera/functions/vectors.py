@@ -21,9 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """Unit length; the zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit length; the zero vector stays. The length is a field beside the vector, or it would be made for each element."""
+    sized = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.get(F.transform(sized, lambda r: F.transform(r["v"], lambda x: F.when(r["n"] > 0, x.cast("double") / r["n"]).otherwise(x.cast("double")))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -207,11 +207,11 @@ def terms_and_bigrams(t: Column) -> Column:
 
 def class_tf_idf(docs: DataFrame, cluster_col: str = "cluster", text_col: str = "text", id_col: str = "id") -> DataFrame:
     """cluster, term, tf, df, docs, score: (tf / length of class) * ln(1 + mean length of classes / tf over all)."""
-    # A document counts each of its terms once for df and each occurrence for tf, so both are summed on the map side.
-    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), terms_and_bigrams(F.col(text_col)).alias("_t"))
-    count = lambda terms, tf, df: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
-    each = grams.select("cluster", F.explode(F.concat(count("_t", 1, 0), count(F.array_distinct("_t"), 0, 1))).alias("_g")).select("cluster", "_g.*")
-    by_term = durable(each.groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "terms")
+    # A document's terms are sorted in the row, so that the first of equals can count for df: all is summed on the map side.
+    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), F.sort_array(terms_and_bigrams(F.col(text_col))).alias("_t"))
+    first = lambda t, i: (i == 0) | (t != F.get(F.col("_t"), i - 1))
+    each = grams.select("cluster", F.explode(F.transform("_t", lambda t, i: F.struct(t.alias("term"), first(t, i).cast("int").alias("df")))).alias("_g")).select("cluster", "_g.*")
+    by_term = durable(each.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("df").alias("df")), "terms")
     lengths = by_term.groupBy("cluster").agg(F.sum("tf").alias("_len"))
     counts = docs.where(F.col(cluster_col) >= 0).groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("docs"))
     mean = lengths.agg(F.avg("_len").alias("_mean"))

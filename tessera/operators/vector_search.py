@@ -104,7 +104,10 @@ def assign(rows: DataFrame, centroid_rows: DataFrame, id_col: str = "id", vec_co
 
     At most ``MAX_REFS`` centroids travel to the tasks as one matrix; batches of rows are multiplied with it.
     """
-    found = bounded(centroid_rows, MAX_REFS, "centroids").select("cluster", "centroid").orderBy("cluster").collect()
+    found = centroid_rows.select("cluster", "centroid").limit(MAX_REFS + 1).collect()
+    if len(found) > MAX_REFS:
+        raise ValueError(f"more than {MAX_REFS} centroids")
+    found.sort(key=lambda r: r["cluster"])
     numbers, matrix = [r["cluster"] for r in found], np.array([r["centroid"] for r in found], dtype=float)
     kinds, of = dict(rows.dtypes), dict(centroid_rows.dtypes)["cluster"]
 
