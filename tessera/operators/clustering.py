@@ -200,7 +200,11 @@ def term_segments(t: Column) -> Column:
 
 
 def terms_and_bigrams(t: Column) -> Column:
-    seg = term_segments(t)
+    return grams_of(term_segments(t))
+
+
+def grams_of(seg: Column) -> Column:
+    """Terms and bigrams of segments."""
     pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(F.flatten(seg), F.flatten(F.transform(seg, lambda s: F.when(F.size(s) > 1, pairs(s)).otherwise(F.array().cast("array<string>")))))
 
@@ -208,15 +212,17 @@ def terms_and_bigrams(t: Column) -> Column:
 def class_tf_idf(docs: DataFrame, cluster_col: str = "cluster", text_col: str = "text", id_col: str = "id") -> DataFrame:
     """cluster, term, tf, df, docs, score: (tf / length of class) * ln(1 + mean length of classes / tf over all)."""
     # A document's terms are sorted in the row, so that the first of equals can count for df: all is summed on the map side.
-    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), F.sort_array(terms_and_bigrams(F.col(text_col))).alias("_t"))
+    grams = docs.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), term_segments(F.col(text_col)).alias("_s"))
+    grams = grams.select("cluster", F.sort_array(grams_of(F.col("_s"))).alias("_t"))
     first = lambda t, i: (i == 0) | (t != F.get(F.col("_t"), i - 1))
     each = grams.select("cluster", F.explode(F.transform("_t", lambda t, i: F.struct(t.alias("term"), first(t, i).cast("int").alias("df")))).alias("_g")).select("cluster", "_g.*")
     by_term = durable(each.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("df").alias("df")), "terms")
     lengths = by_term.groupBy("cluster").agg(F.sum("tf").alias("_len"))
     counts = docs.where(F.col(cluster_col) >= 0).groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("docs"))
     mean = lengths.agg(F.avg("_len").alias("_mean"))
-    overall = by_term.groupBy("term").agg(F.sum("tf").alias("_all"))
-    out = by_term.join(overall, "term").join(lengths, "cluster").join(counts, "cluster").join(F.broadcast(mean))  # one row
+    # A term has at most one row for each cluster, so these meet in the row that holds their sum.
+    overall = by_term.groupBy("term").agg(F.sum("tf").alias("_all"), F.collect_list(F.struct("cluster", "tf", "df")).alias("_c"))
+    out = overall.select("term", "_all", F.inline("_c")).join(lengths, "cluster").join(counts, "cluster").join(F.broadcast(mean))  # one row
     return out.select("cluster", "term", "tf", "df", "docs", ((F.col("tf") / F.col("_len")) * F.log(1 + F.col("_mean") / F.col("_all"))).alias("score"))
 
 
