@@ -239,9 +239,16 @@ def external_id_or_join(spark, d):
 @query("ancestor_walk", """WITH RECURSIVE up(id, hop, cur) AS (SELECT p_partkey, 0, p_partkey FROM part UNION ALL SELECT id, hop + 1, cur // 2 FROM up WHERE cur > 1 AND hop < 20)
     SELECT id, CAST(max(hop) AS BIGINT) AS hops, CAST(max(cur) FILTER (WHERE cur % 5 = 0) AS BIGINT) AS nearest FROM up GROUP BY id""")
 def ancestor_walk(spark, d):
-    """JOI-15: a parent key followed up to twenty hops."""
-    return spark.sql("""WITH RECURSIVE up(id, hop, at) AS (SELECT p_partkey, 0L, p_partkey FROM {part} UNION ALL SELECT id, hop + 1, CAST(floor(at / 2) AS BIGINT) FROM up WHERE at > 1 AND hop < 20)
-        SELECT id, max(hop) AS hops, max(at) FILTER (WHERE at % 5 = 0) AS nearest FROM up GROUP BY id""", part=table(spark, d, "part"))
+    """JOI-15: a parent key followed up to twenty hops.
+
+    The parent is computed, so each row makes its own walk: a recursive query of Spark ends at a million rows.
+    """
+    k = F.col("id")
+    hops = F.filter(F.sequence(F.lit(0), F.lit(20)), lambda h: (h == 0) | (F.expr("id > 1") & (F.call_function("shiftright", k, F.greatest(h - 1, F.lit(0))) > 1)))
+    walk = F.transform(hops, lambda h: F.struct(h.cast("long").alias("hop"), F.call_function("shiftright", k, h).alias("at")))
+    nearest = F.array_max(F.transform(F.filter(walk, lambda w: w["at"] % 5 == 0), lambda w: w["at"]))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id")).select("id", F.array_max(hops).cast("long").alias("hops"), nearest.alias("nearest"))
+    return rows.groupBy("id").agg(F.max("hops").alias("hops"), F.max("nearest").alias("nearest"))
 
 
 @query("usage_rollup", "SELECT user_id AS job, count(*) AS calls, round(sum(value), 4) AS cost, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY user_id")
