@@ -78,12 +78,21 @@ def backoff(attempt: Column, base: float, jitter: Column) -> Column:
     return 2 * base * F.pow(F.lit(2.0), attempt) + jitter
 
 
-def compact_count(n: Column) -> Column:
-    return F.when(n < 10_000, F.format_string("%d", n)).when(n < 1_000_000, F.concat(F.format_string("%d", F.floor(n / 1000)), F.lit("k"))).otherwise(F.concat(F.format_string("%d", F.floor(n / 1_000_000)), F.lit("M")))
+def compact_count(n: Column, millions: bool = True) -> Column:
+    """Whole thousands from 10,000 on, and whole millions if ``millions``; null stays null."""
+    n = n.cast("long")
+    thousands = F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))
+    large = F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).otherwise(thousands) if millions else thousands
+    return F.when(n < 10_000, n.cast("string")).otherwise(large)
+
+
+def dollars(x: Column) -> Column:
+    """Two decimals, rounded from the exact binary value; null stays null."""
+    return F.concat(F.lit("$"), F.call_function("format_number", x, F.lit("0.00")))
 
 
 def money(x: Column) -> Column:
-    return F.when((x > 0) & (x < 0.01), "<$0.01").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", x)))
+    return F.when((x > 0) & (x < 0.01), "<$0.01").otherwise(dollars(x))
 
 
 def true_modulo_color(idx: Column, colors: int = 10) -> Column:

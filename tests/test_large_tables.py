@@ -30,3 +30,10 @@ def test_spacing_of_a_busy_host(spark):
     events = spark.range(700_000).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "'a' AS host")
     got = jobs.spacing(events, 3100).selectExpr("min(start_ms) AS first", "max(start_ms) AS last", "count(DISTINCT start_ms) AS n").first()
     assert got["n"] == 700_000 and got["last"] - got["first"] == 699_999 * 3100
+
+
+def test_display_formats_of_large_counts_and_ties(spark, tmp_path):
+    rows = [(3333, 0.125, "$0.12", "9999"), (3334, 1.005, "$1.00", "10k"), (400_000, 0.004, "$0.00", "1200k"), (1_000_000_000, -2.5, "$-2.50", "3000000k"), (None, None, None, None)]
+    orders = spark.createDataFrame([r[:2] for r in rows], "o_orderkey long, o_totalprice double").selectExpr("*", "TIMESTAMP_NTZ '1996-12-05 00:00:00' AS o_orderdate")
+    got = plans.QUERIES["display_formats"](spark, write(orders, tmp_path, "orders")).collect()
+    assert {(r["id"], r["money"], r["month"], r["cites"]) for r in got} == {(k, m, "Dec 1996", c) for k, _, m, c in rows}
