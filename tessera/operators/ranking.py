@@ -15,7 +15,6 @@ from ..tables import durable
 from .relational import first_per_key, number_rows, percentile_rank
 
 RRF_K = 60
-MAX_POOL = 20_000  # candidates of one search, which are selected in one task
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.0
 FIELDS = {"title": TITLE_WEIGHT, "abstract": 1.0}
 # Weights of the selection score, its prior and the influence blend.
@@ -264,7 +263,8 @@ def select_papers(rows: DataFrame, now: str, count: int, foundational: int, fron
     """Relevant yet diverse selection for each search: reserves for old and cited, for recent, then a greedy fill.
 
     ``rows``: keys, id, rerank, rrf, cites, published_at (timestamp), embedding, title, pos (input order). The greedy
-    rule is sequential, so each search's candidates (at most ``MAX_POOL``) meet in one task; searches run in parallel.
+    rule is sequential, so each search's candidates meet in one task, in memory that grows with their number; searches run
+    in parallel.
     """
     prepared = rows.select(*keys, "id", "rerank", "rrf", "cites", F.unix_millis(F.col("published_at").cast("timestamp")).alias("published_ms"), "embedding", text.title_key(F.col("title")).alias("title_key"), "pos")
     now_ms = pd.Timestamp(now, tz="UTC").timestamp() * 1000
@@ -272,8 +272,6 @@ def select_papers(rows: DataFrame, now: str, count: int, foundational: int, fron
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"id {kinds['id']}, selected boolean, final_rank int, reason string, score double"])
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > MAX_POOL:
-            raise ValueError(f"a pool of {len(part)} candidates; the most is {MAX_POOL}")
         part = part.sort_values("pos")
         records = [{k: (None if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else v) for k, v in r.items()} for r in part.to_dict("records")]
         out = pd.DataFrame(_select(records, count, foundational, frontier, now_ms))

@@ -45,3 +45,11 @@ def test_page_title_decodes_ampersands_only(spark, tmp_path):
     got = plans.QUERIES["page_title"](spark, write(pages, tmp_path, "pages")).orderBy("id").collect()
     assert [r["title"] for r in got] == ["a & b &quot;c&quot; &AMP;", None, "&lt;", "a\x0bb", None, None]
     assert [r["n"] for r in got] == [None if t is None else len(t) for t in titles]
+
+
+def test_selection_from_a_large_pool(spark, tmp_path):
+    """More than 20,000 candidates of one search; none is left out."""
+    d = write(spark.range(21_000).selectExpr("id AS p_partkey", "CAST(10 AS INT) AS p_size"), tmp_path, "part")
+    got = [(r["id"], r["final_rank"]) for r in plans.QUERIES["selection_without_reserves"](spark, d).orderBy("final_rank").collect()]
+    want = sorted(range(21_000), key=lambda i: (-(0.7 * (i % 997 / 997.0)), -(i % 997 / 997.0), i))[:10]
+    assert got == [(i, n) for n, i in enumerate(want, 1)]
