@@ -4,20 +4,22 @@ Two texts are near copies if the Jaccard similarity of their sets of five-word s
 the row with the smallest id stays: a row goes just if a row that stays, with a smaller id, is a near copy of it. So no
 two rows that stay are near copies, and each row that goes has a near copy that stays.
 
-SimHash alone can't find these: at 0.8 two fingerprints of 64 bits differ in about ten, and blocks by pigeonhole that a
-pair within ten bits must share would have five bits each. So candidates come from MinHash (12 bands of 4 values; a pair at
-0.8 shares no band with a probability of 0.002, one at 0.85 with 0.0001), and SimHash prunes them: pairs whose sizes rule a
-similarity of 0.8 out, or whose 512 bits differ in more than 108 (at 0.8 a probability of 0.0001), are not looked at. Each
-pair left is verified on the whole sets, so no row goes for an estimate. Shingles are compared by 64-bit hashes, rows are
-told apart by id and the MD5 digest of the text.
-
-Scale: in a round, each shared band compares its smallest undecided row with the others, if that row is the smallest in
-all its bands and so stays; what is a near copy of it goes. Pairs are thus linear in the rows, also where many copies
-share a band. After the first round, rows that still share a band with over ``small_group`` others have much text in
-common but are not copies of its first row; they are keyed by 40 bands of 8 values instead (a pair at 0.8 shares none with a
-probability of 0.0006). Keys of up to ``small_group`` undecided rows then compare all their pairs, and after ``LEADS`` such
-rounds so do the others: their pairs grow with the square of the number of rows that share a long band, are close enough
-to 0.8 for their sketches, and yet are no copies. Rounds are written tables.
+Method: SimHash, blocks by pigeonhole, verified Hamming distance, then an exact check. One SimHash of 64 bits can't find
+these: at 0.8 two of them differ in about ten bits, and blocks by pigeonhole that a pair within ten bits must share would
+have five bits each. So the fingerprint is longer and its blocks follow the set: the shingles are dealt to classes by hash,
+and a block is the SimHash of one class. Texts of sizes n and m at 0.8 differ in at most (n + m) / 9 shingles; with more
+classes than that, one class is equal in both, and so is its block. Sizes that go with each other share the number of
+classes (``_level``). Of texts above ``SAMPLE`` shingles a sample of about that many, by hash, is dealt; there, and where
+the equal classes are empty, a pair at 0.8 may share no block (in a simulation of 20,000 pairs: see the README). Pairs that
+share a block are held against each other's size and SimHash of 512 bits: those that differ in more than 108 (at 0.8 a
+probability of 0.0001) are not looked at. Each pair left is verified on the whole sets, so no row goes for an estimate.
+Shingles are compared by 64-bit hashes, rows are told apart by id and a 64-bit hash of the text.
+
+Scale: in a round, the first rows of each block (the first one, then ``small_group``, then four times as many each time)
+are compared with the others of the block; a row is decided once all rows before it in its blocks are. Of many copies that
+share a block, a row or a few thus take the others away before these are compared among themselves: pairs are linear in the
+rows. What stays and yet is alike (close enough to 0.8 for 512 bits) still grows with the square of its number. Rounds are
+written tables.
 
 Defined results: ASCII case and white space do not count; null text counts as empty, and texts without words are copies;
 fewer words than a shingle make one shingle; a null id is the smallest id; rows that share an id but not a text stand
@@ -26,28 +28,30 @@ apart; of rows that repeat id and text one stays; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, map_arrow
 
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # a fraction, so that the verdict is exact
-BANDS, BAND_ROWS = 12, 4
-SHARP_BANDS, SHARP_ROWS = 40, 8
+#: Sizes of one level differ by less than the square of this factor, so near copies share a level.
+LEVEL = SIMILARITY[1] / SIMILARITY[0]
+SAMPLE = 96
 SMALL_GROUP = 32
-LEADS = 2  # rounds with pairs of small groups only
 #: Sets of at least ``SKETCH_FROM`` shingles at similarity 0.8 differ in 78 of 512 bits with a standard deviation of 8.
 SKETCH_FROM, SKETCH_BITS = 20, 108
 _SEEDS = tuple(int(x) | 1 for x in np.random.default_rng(7).integers(2**62, 2**64, size=8, dtype=np.uint64))
 _NULL_ID = -(2**63)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_FACTORS = np.random.default_rng(42).integers(0, 2**64, size=max(BANDS * BAND_ROWS, SHARP_BANDS * SHARP_ROWS), dtype=np.uint64) | np.uint64(1)
+_MIX = tuple(np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
 def shingles(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -61,24 +65,46 @@ def shingles(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     h = np.full(len(w) - k + 1, k, dtype=np.uint64)
     for j in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
-    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
-    return np.unique(h ^ (h >> np.uint64(33)))
+    return np.unique(_mixed(h))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor in _MIX[:2]:
+        x = (x ^ (x >> np.uint64(33))) * factor
+    return x ^ (x >> np.uint64(33))
+
+
+def _level(h: np.ndarray, level: int) -> np.ndarray:
+    """Keys of the blocks of one level: sizes from ``LEVEL ** level`` to below ``LEVEL ** (level + 2)``."""
+    most = LEVEL ** (level + 2)
+    x = _mixed(h + _MIX[2])
+    if most > SAMPLE:
+        keep = (x >> np.uint64(32)) < np.uint64(int(SAMPLE / most * 2**32))
+        h, x = h[keep], x[keep]
+    classes = int(min(most, SAMPLE) * 2 / 9) + 2
+    own = (x & np.uint64(0xFFFFFFFF)) % np.uint64(classes)
+    order = np.argsort(own, kind="stable")
+    h, own = h[order], own[order]
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+    many = np.diff(np.append(at, len(h)))
+    block = np.packbits(ones * 2 > many[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return _mixed(block + _mixed(own[at] * _MIX[2] + np.uint64((level + 2) * int(_MIX[3]) % 2**64)))
 
 
-def bands(h: np.ndarray, n: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
-    """A key for each of ``n`` bands, as signed integers; texts without words share theirs."""
-    factors = _FACTORS[: n * rows]
-    least = np.full(n * rows, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(least, (h[at : at + 1024, None] * factors).min(axis=0), out=least)
-    parts = least.reshape(n, rows)
-    keys = [xxhash.xxh64_intdigest(parts[i].tobytes(), i) for i in range(n)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+def blocks(h: np.ndarray) -> list[int]:
+    """Keys of the blocks of a set, on both levels of its size, as signed integers; texts without words share theirs."""
+    if not len(h):
+        return [0]
+    level = int(math.log(len(h)) / math.log(LEVEL) + 1e-9)
+    return np.unique(np.concatenate([_level(h, level - 1), _level(h, level)])).view(np.int64).tolist()
 
 
 def sketch(h: np.ndarray) -> list[int]:
-    """Size of the set, and its SimHash of ``64 * len(_SEEDS)`` bits, as signed integers."""
+    """Size of the set, its SimHash of ``64 * len(_SEEDS)`` bits, and a small set itself, as signed integers."""
     out = [len(h)]
     for seed in _SEEDS:
         x = h * np.uint64(seed)
@@ -88,16 +114,18 @@ def sketch(h: np.ndarray) -> list[int]:
         for at in range(0, len(x), 65536):
             ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(ones * 2 > len(x), bitorder="little").tobytes(), "little", signed=True))
-    return out
+    return out + (h.view(np.int64).tolist() if len(h) < SKETCH_FROM * LEVEL else [])
 
 
 def _may(x: Column, y: Column) -> Column:
-    """Whether the sketches leave open that two texts are near copies: by size exactly, by Hamming distance almost surely."""
+    """Whether the sketches leave open that two texts are near copies: by size and for small sets exactly, by Hamming distance almost surely."""
     size = lambda c: F.get(c, F.lit(0))
     bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, len(_SEEDS) + 1)), F.lit(0))
     few = F.least(size(x), size(y)) < SKETCH_FROM
+    both = F.size(F.array_intersect(*[F.slice(c, len(_SEEDS) + 2, int(SKETCH_FROM * LEVEL)) for c in (x, y)]))
+    small = both * SIMILARITY[1] >= (size(x) + size(y) - both) * SIMILARITY[0]
     sizes = F.least(size(x), size(y)) * SIMILARITY[1] >= F.greatest(size(x), size(y)) * SIMILARITY[0]
-    return sizes & (few | (bits <= SKETCH_BITS))
+    return sizes & F.when(few, small).otherwise(bits <= SKETCH_BITS)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -106,9 +134,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str):
-    """The row's name: ordered by id, with the text's digest."""
+    """The row's name: ordered by id, with a hash of the text."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return F.struct(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("id"), F.md5(text.cast("binary")).alias("digest"))
+    return F.struct(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("digest"))
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,11 +144,11 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([bands(shingles(x.as_py())) for x in b.column(2)], type=pa.list_(pa.int64()))
+            keys = pa.array([blocks(shingles(x.as_py())) for x in b.column(2)], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["id", "digest", "_keys"])
 
     rows = docs.select(_row(docs, id_col, text_col).alias("_node"), docs[text_col].alias("_t")).select("_node.*", "_t")
-    return map_arrow(rows, run, "id long, digest string, _keys array<long>").select(F.struct("id", "digest").alias("_node"), "_keys")
+    return map_arrow(rows, run, "id long, digest long, _keys array<long>").select(F.struct("id", "digest").alias("_node"), "_keys")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -132,7 +160,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             own = pa.array([x.view(np.int64) for x in found], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), own, pa.array([sketch(x) for x in found], type=pa.list_(pa.int64()))], names=["_node", "_own", "_sketch"])
 
-    return map_arrow(rows.select("_node", "_text"), run, "_node struct<id: bigint, digest: string>, _own array<bigint>, _sketch array<bigint>")
+    return map_arrow(rows.select("_node", "_text"), run, "_node struct<id: bigint, digest: bigint>, _own array<bigint>, _sketch array<bigint>")
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,24 +177,14 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, both.select("_a", "_b").schema.simpleString()[len("struct<") : -1])
 
 
-def _sharp(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """_key, _node: keys of ``members`` by more and longer bands, which rows that are much alike but no copies share less."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = pa.array([bands(x.values.to_numpy().view(np.uint64), SHARP_BANDS, SHARP_ROWS) for x in b.column(1)], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), keys], names=["_node", "_keys"])
-
-    some = sets.select("_node", "_own").join(members.hint("merge"), "_node", "left_semi")
-    return map_arrow(some, run, "_node struct<id: bigint, digest: string>, _keys array<bigint>").select(F.explode("_keys").alias("_key"), "_node")
-
-
-def _pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """_a < _b: the rows that share a key and may be near copies, each pair at the least key that they share."""
-    own = met.groupBy("_node").agg(F.collect_list("_key").alias("_keys")).join(sets.select("_node", "_sketch").hint("merge"), "_node")
-    keys = durable(met.join(own.hint("merge"), "_node"), "keys")
-    a = keys.select(F.col("_key").alias("_k"), F.col("_node").alias("_a"), F.col("_keys").alias("_x"), F.col("_sketch").alias("_s"))
-    b = keys.select(F.col("_key").alias("_l"), F.col("_node").alias("_b"), F.col("_keys").alias("_y"), F.col("_sketch").alias("_t"))
+def _pairs(now: DataFrame, sets: DataFrame, front: int) -> DataFrame:
+    """_a < _b: rows that share a key, _a new among its first ``front``, and may be near copies; each pair at the least such key."""
+    new = (F.col("_place") <= front) & ~F.col("_asked")
+    lists = now.groupBy("_node").agg(F.collect_list(F.when(new, F.col("_key"))).alias("_heads"), F.collect_list("_key").alias("_keys"))
+    own = lists.join(sets.select("_node", "_sketch").hint("merge"), "_node")
+    keys = durable(now.join(own.hint("merge"), "_node"), "keys")
+    a = keys.where(new).select(F.col("_key").alias("_k"), F.col("_node").alias("_a"), F.col("_heads").alias("_x"), F.col("_sketch").alias("_s"))
+    b = keys.where("_place > 1").select(F.col("_key").alias("_l"), F.col("_node").alias("_b"), F.col("_keys").alias("_y"), F.col("_sketch").alias("_t"))
     least = F.array_min(F.array_intersect("_x", "_y")) == F.col("_k")
     return a.join(b.hint("merge"), (F.col("_k") == F.col("_l")) & (F.col("_a") < F.col("_b")) & _may(F.col("_s"), F.col("_t")) & least).select("_a", "_b")
 
@@ -174,49 +192,38 @@ def _pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
 def _lost(met: DataFrame, sets: DataFrame, small_group: int) -> DataFrame:
     """_node of the rows that go, from ``met`` (_key, _node)."""
     undecided = durable(sets.select("_node"), "undecided")
-    # Pairs found in small bands, all of them undecided.
+    # Pairs that are near copies, both of them undecided.
     edges = undecided.select(F.col("_node").alias("_a"), F.col("_node").alias("_b")).limit(0)
-    lost, turn = undecided.limit(0), 0
+    lost, front, met = undecided.limit(0), 1, met.withColumn("_asked", F.lit(False))
     while not undecided.isEmpty():
-        groups = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_least")).where("_n > 1")
-        now = durable(met.join(groups.hint("merge"), "_key"), "now")
-        # All pairs of no key at first, then of small keys, then of all keys.
-        paired = F.lit(turn > LEADS) | (F.lit(turn > 0) & (F.col("_n") <= small_group))
-        small, large = now.where(paired), now.where(~paired)
-        if not small.isEmpty():
-            pairs = _pairs(small.select("_key", "_node"), sets)
+        same = W.partitionBy("_key")
+        ranked = met.withColumns({"_n": F.count(F.lit(1)).over(same), "_place": F.row_number().over(same.orderBy("_node"))})
+        now = durable(ranked.where("_n > 1"), "now")
+        if not now.isEmpty():
+            # As a table, so that Spark may split the joins where a first row has many others.
+            pairs = durable(_pairs(now, sets, front), "pairs")
             edges = durable(edges.union(_near(pairs, sets)).distinct(), "edges")
-        wait = edges.select(F.col("_b").alias("_node")).union(large.where("_node != _least").select("_node")).distinct()
+        wait = edges.select(F.col("_b").alias("_node")).union(now.where(F.col("_place") > front).select("_node")).distinct()
         stay = durable(undecided.join(wait.hint("merge"), "_node", "left_anti"), "stay")
         kept = stay.select(F.col("_node").alias("_a"))
-        asked = large.where("_node != _least").select(F.col("_least").alias("_a"), F.col("_node").alias("_b")).distinct()
-        # As a table, so that Spark may split the join where a first row has many others.
-        asked = durable(asked, "asked").join(kept.hint("merge"), "_a", "left_semi")
-        go = _near(asked, sets).union(edges.join(kept.hint("merge"), "_a", "left_semi").select("_a", "_b"))
-        gone = durable(go.select(F.col("_b").alias("_node")).distinct(), "gone")
+        gone = durable(edges.join(kept.hint("merge"), "_a", "left_semi").select(F.col("_b").alias("_node")).distinct(), "gone")
         done = stay.union(gone)
         lost = lost.union(gone)
         undecided = durable(undecided.join(done.hint("merge"), "_node", "left_anti"), "undecided")
         open_a, open_b = undecided.select(F.col("_node").alias("_a")), undecided.select(F.col("_node").alias("_b"))
         edges = durable(edges.join(open_a.hint("merge"), "_a", "left_semi").join(open_b.hint("merge"), "_b", "left_semi").select("_a", "_b"), "edges")
-        met = large.select("_key", "_node").join(undecided.hint("merge"), "_node", "left_semi").select("_key", "_node")
-        if turn == 0:
-            met = durable(met, "left")
-            crowd = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small_group).select("_key")
-            crowd = durable(crowd, "crowd")
-            if not crowd.isEmpty():
-                members = met.join(crowd.hint("merge"), "_key", "left_semi").select("_node").distinct()
-                met = durable(met.join(crowd.hint("merge"), "_key", "left_anti").select("_key", "_node").union(_sharp(members, sets)).distinct(), "left")
-        turn += 1
+        # Keys of at most ``front`` rows are done: all their pairs are known.
+        met = now.where(F.col("_n") > front).select("_key", "_node", (F.col("_place") <= front).alias("_asked")).join(undecided.hint("merge"), "_node", "left_semi").select("_key", "_node", "_asked")
+        front = small_group if front == 1 else front * 4
     return lost
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
     """``docs`` with all its columns, of near copies only the row with the smallest id."""
-    rows = durable(_keys(docs, id_col, text_col), "bands")
+    rows = durable(_keys(docs, id_col, text_col), "blocks")
     keys = rows.select("_node", F.explode("_keys").alias("_key"))
-    shared = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    met = durable(keys.join(shared.hint("merge"), "_key", "left_semi").select("_key", "_node").distinct(), "met")
+    shared = keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("_key"))).where("_n > 1")
+    met = durable(shared.select("_key", "_node").distinct(), "met")
     mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_t"), _row(docs, id_col, text_col).alias("_node"))
     some = mine.select("_node", F.col("_t").alias("_text")).join(met.select("_node").distinct().hint("merge"), "_node", "left_semi")
     sets = durable(_sets(some.groupBy("_node").agg(F.first("_text").alias("_text"))), "sets")
