@@ -10,7 +10,7 @@ have five bits each. So the fingerprint is longer and its blocks follow the set:
 and a block is the SimHash of one class. Texts of sizes n and m at 0.8 differ in at most (n + m) / 9 shingles; with more
 classes than that, one class is equal in both, and so is its block. Sizes that go with each other share the number of
 classes (``_level``). Of texts above ``SAMPLE`` shingles a sample of about that many, by hash, is dealt; there, and where
-the equal classes are empty, a pair at 0.8 may share no block (in a simulation of 20,000 pairs: see the README). Pairs that
+the equal classes are empty, a pair at 0.8 may share no block (figures in the README). Pairs that
 share a block are held against each other's size and SimHash of 512 bits: those that differ in more than 108 (at 0.8 a
 probability of 0.0001) are not looked at. Each pair left is verified on the whole sets, so no row goes for an estimate.
 Shingles are compared by 64-bit hashes, rows are told apart by id and a 64-bit hash of the text.

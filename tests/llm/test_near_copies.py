@@ -82,3 +82,16 @@ def test_rows_without_a_unique_id(spark):
 
 def test_empty(spark):
     assert near_copies.drop_near_duplicates(table(spark, []).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("union", [20, 40, 80, 300])
+def test_pairs_at_the_threshold_share_a_block(union):
+    import numpy as np
+
+    r = np.random.default_rng(union)
+    for _ in range(200):
+        h = r.integers(0, 2**64, size=union, dtype=np.uint64)
+        both = -(-union * 4 // 5)
+        cut = both + r.integers(0, union - both + 1)
+        a, b = np.sort(h[:cut]), np.sort(np.concatenate([h[:both], h[cut:]]))
+        assert near_copies.similar(a, b) and set(near_copies.blocks(a)) & set(near_copies.blocks(b))
