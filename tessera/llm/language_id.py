@@ -142,9 +142,12 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     if not got:
         return Model([], np.ones(dim), np.zeros((0, dim)))
     langs = np.array([g[0] for g in got], dtype=object)
-    n = np.array([np.frombuffer(g[1], dtype=np.uint32) for g in got]).astype(np.float64)
+    n = np.frombuffer(b"".join(g[1] for g in got), dtype=np.uint32).reshape(len(got), dim)
+    del got
     model = Model([], np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 1, np.zeros((0, dim)))
-    x = np.array([model.vector(row) for row in n])
+    x = np.empty(n.shape)
+    for i, row in enumerate(n):
+        x[i] = model.vector(row)
     model.languages, tables = [], []
     for lang in sorted(set(langs)):
         tables.append(_cluster(x[langs == lang], centroids))

@@ -11,15 +11,16 @@ and a block is the SimHash of one class. Texts of sizes n and m at 0.8 differ in
 classes than that, one class is equal in both, and so is its block. Sizes that go with each other share the number of
 classes (``_level``). Of texts above ``SAMPLE`` shingles a sample of about that many, by hash, is dealt; there, and where
 the equal classes are empty, a pair at 0.8 may share no block (figures in the README). Pairs that
-share a block are held against each other's size and SimHash of 512 bits: those that differ in more than 108 (at 0.8 a
-probability of 0.0001) are not looked at. Each pair left is verified on the whole sets, so no row goes for an estimate.
+share a block are held against each other's size and SimHash of 2048 bits: those that differ in more than 384 (at 0.8 a
+probability of about 0.0001) are not looked at. Each pair left is verified on the whole sets, so no row goes for an estimate.
 Shingles are compared by 64-bit hashes, rows are told apart by id and a 64-bit hash of the text.
 
-Scale: in a round, the first rows of each block (the first one, then ``small_group``, then four times as many each time)
-are compared with the others of the block; a row is decided once all rows before it in its blocks are. Of many copies that
-share a block, a row or a few thus take the others away before these are compared among themselves: pairs are linear in the
-rows. What stays and yet is alike (close enough to 0.8 for 512 bits) still grows with the square of its number. Rounds are
-written tables.
+Scale: in a round, the first rows of each block (the first one, then ``small_group``, then ``small_group`` times as many
+each time) are compared with the others of the block; a row is settled once all rows before it in its blocks have been
+compared with theirs. Of many copies that share a block, a row or a few thus take the others away before these are compared
+among themselves: pairs are linear in the rows. What stays and yet is alike (close enough to 0.8 for 2048 bits) still grows
+with the square of its number. Rounds are written tables. The pairs of a round that are near copies are settled in one task
+if they are at most ``ONE_TASK``, else step by step in joins; the verdicts are the same.
 
 Defined results: ASCII case and white space do not count; null text counts as empty, and texts without words are copies;
 fewer words than a shingle make one shingle; a null id is the smallest id; rows that share an id but not a text stand
@@ -46,9 +47,11 @@ SIMILARITY = (4, 5)  # a fraction, so that the verdict is exact
 LEVEL = SIMILARITY[1] / SIMILARITY[0]
 SAMPLE = 96
 SMALL_GROUP = 32
-#: Sets of at least ``SKETCH_FROM`` shingles at similarity 0.8 differ in 78 of 512 bits with a standard deviation of 8.
-SKETCH_FROM, SKETCH_BITS = 20, 108
-_SEEDS = tuple(int(x) | 1 for x in np.random.default_rng(7).integers(2**62, 2**64, size=8, dtype=np.uint64))
+#: Sets of at least ``SKETCH_FROM`` shingles at similarity 0.8 differ in 312 of 2048 bits at most with a standard deviation
+#: of 17, in the first 512 in 78 with one of 9.
+SKETCH_FROM, SKETCH_BITS, ROUGH_WORDS, ROUGH_BITS = 32, 384, 8, 116
+ONE_TASK = 100_000
+_SEEDS = tuple(int(x) | 1 for x in np.random.default_rng(7).integers(2**62, 2**64, size=32, dtype=np.uint64))
 _NULL_ID = -(2**63)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = tuple(np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -120,12 +123,14 @@ def sketch(h: np.ndarray) -> list[int]:
 def _may(x: Column, y: Column) -> Column:
     """Whether the sketches leave open that two texts are near copies: by size and for small sets exactly, by Hamming distance almost surely."""
     size = lambda c: F.get(c, F.lit(0))
-    bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, len(_SEEDS) + 1)), F.lit(0))
+    rough = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, ROUGH_WORDS + 1)), F.lit(0))
+    words = (F.slice(c, 2, len(_SEEDS)) for c in (x, y))
+    bits = F.aggregate(F.zip_with(*words, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
     few = F.least(size(x), size(y)) < SKETCH_FROM
     both = F.size(F.array_intersect(*[F.slice(c, len(_SEEDS) + 2, int(SKETCH_FROM * LEVEL)) for c in (x, y)]))
     small = both * SIMILARITY[1] >= (size(x) + size(y) - both) * SIMILARITY[0]
     sizes = F.least(size(x), size(y)) * SIMILARITY[1] >= F.greatest(size(x), size(y)) * SIMILARITY[0]
-    return sizes & F.when(few, small).otherwise(bits <= SKETCH_BITS)
+    return sizes & F.when(few, small).otherwise((rough <= ROUGH_BITS) & (bits <= SKETCH_BITS))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -180,41 +185,81 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _pairs(now: DataFrame, sets: DataFrame, front: int) -> DataFrame:
     """_a < _b: rows that share a key, _a new among its first ``front``, and may be near copies; each pair at the least such key."""
     new = (F.col("_place") <= front) & ~F.col("_asked")
-    lists = now.groupBy("_node").agg(F.collect_list(F.when(new, F.col("_key"))).alias("_heads"), F.collect_list("_key").alias("_keys"))
-    own = lists.join(sets.select("_node", "_sketch").hint("merge"), "_node")
-    keys = durable(now.join(own.hint("merge"), "_node"), "keys")
-    a = keys.where(new).select(F.col("_key").alias("_k"), F.col("_node").alias("_a"), F.col("_heads").alias("_x"), F.col("_sketch").alias("_s"))
-    b = keys.where("_place > 1").select(F.col("_key").alias("_l"), F.col("_node").alias("_b"), F.col("_keys").alias("_y"), F.col("_sketch").alias("_t"))
+    behind = F.col("_place") > 1
+    lists = now.groupBy("_node").agg(*[F.collect_list(x).alias(n) for n, x in (("_heads", F.when(new, F.col("_key"))), ("_keys", F.col("_key")), ("_rest", F.when(behind, F.col("_key"))))])
+    own = durable(lists.join(sets.select("_node", "_sketch").hint("merge"), "_node"), "own")
+    a = own.select(F.explode("_heads").alias("_k"), F.col("_node").alias("_a"), F.col("_heads").alias("_x"), F.col("_sketch").alias("_s"))
+    b = own.select(F.explode("_rest").alias("_l"), F.col("_node").alias("_b"), F.col("_keys").alias("_y"), F.col("_sketch").alias("_t"))
     least = F.array_min(F.array_intersect("_x", "_y")) == F.col("_k")
     return a.join(b.hint("merge"), (F.col("_k") == F.col("_l")) & (F.col("_a") < F.col("_b")) & _may(F.col("_s"), F.col("_t")) & least).select("_a", "_b")
 
 
-def _lost(met: DataFrame, sets: DataFrame, small_group: int) -> DataFrame:
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (_a < _b), and rows with _a equal to _b that wait for others: _a, _b, _gone for rows that go (_a equal to _b) and pairs still open."""
+    before: dict[tuple, set] = {}
+    late, schema = set(), None
+    for batch in batches:
+        schema = batch.schema.field("_a").type
+        a, b = (list(zip(*[batch.column(i).field(j).to_pylist() for j in range(2)], strict=True)) for i in range(2))
+        for x, y in zip(a, b, strict=True):
+            before.setdefault(x, set())
+            if x == y:
+                late.add(x)
+            else:
+                before.setdefault(y, set()).add(x)
+    gone, wait, out = set(), set(), []
+    for y in sorted(before):
+        own = before[y] - gone
+        if any(x not in wait for x in own):
+            gone.add(y)
+            out.append((y, y, True))
+        elif own or y in late:
+            wait.add(y)
+            out += [(x, y, False) for x in own]
+    if out:
+        node = lambda i: pa.array([dict(zip(("id", "digest"), o[i], strict=True)) for o in out], type=schema)
+        yield pa.RecordBatch.from_arrays([node(0), node(1), pa.array([o[2] for o in out], pa.bool_())], names=["_a", "_b", "_gone"])
+
+
+def _settled(edges: DataFrame, late: DataFrame, one_task: int) -> tuple[DataFrame, DataFrame]:
+    """(_node of the rows that go, the pairs still open). late: _node of rows that have not met all rows before them."""
+    a, b = (edges.select(F.col(c).alias("_node")) for c in ("_a", "_b"))
+    if edges.limit(one_task + 1).count() <= one_task:
+        waits = a.union(b).join(late.hint("merge"), "_node", "left_semi")
+        rows = edges.select("_a", "_b").union(waits.select(F.col("_node").alias("_a"), F.col("_node").alias("_b"))).repartition(1)
+        found = durable(map_arrow(rows, _verdicts, "_a struct<id: bigint, digest: bigint>, _b struct<id: bigint, digest: bigint>, _gone boolean"), "verdicts")
+        return found.where("_gone").select(F.col("_b").alias("_node")), found.where("NOT _gone").select("_a", "_b")
+    waits = late.union(b).distinct().select(F.col("_node").alias("_a"))
+    gone = durable(edges.join(waits.hint("merge"), "_a", "left_anti").select(F.col("_b").alias("_node")).distinct(), "gone")
+    gone_a, gone_b = (gone.select(F.col("_node").alias(c)) for c in ("_a", "_b"))
+    return gone, durable(edges.join(gone_a.hint("merge"), "_a", "left_anti").join(gone_b.hint("merge"), "_b", "left_anti").select("_a", "_b").distinct(), "open")
+
+
+def _lost(met: DataFrame, sets: DataFrame, small_group: int, one_task: int = ONE_TASK) -> DataFrame:
     """_node of the rows that go, from ``met`` (_key, _node)."""
-    undecided = durable(sets.select("_node"), "undecided")
-    # Pairs that are near copies, both of them undecided.
-    edges = undecided.select(F.col("_node").alias("_a"), F.col("_node").alias("_b")).limit(0)
-    lost, front, met = undecided.limit(0), 1, met.withColumn("_asked", F.lit(False))
-    while not undecided.isEmpty():
+    none = sets.select("_node").limit(0)
+    # Pairs that are near copies, neither of them settled.
+    edges = none.select(F.col("_node").alias("_a"), F.col("_node").alias("_b"))
+    lost, front, met = none, 1, met.withColumn("_asked", F.lit(False))
+    while True:
         same = W.partitionBy("_key")
         ranked = met.withColumns({"_n": F.count(F.lit(1)).over(same), "_place": F.row_number().over(same.orderBy("_node"))})
         now = durable(ranked.where("_n > 1"), "now")
-        if not now.isEmpty():
-            # As a table, so that Spark may split the joins where a first row has many others.
-            pairs = durable(_pairs(now, sets, front), "pairs")
-            edges = durable(edges.union(_near(pairs, sets)).distinct(), "edges")
-        wait = edges.select(F.col("_b").alias("_node")).union(now.where(F.col("_place") > front).select("_node")).distinct()
-        stay = durable(undecided.join(wait.hint("merge"), "_node", "left_anti"), "stay")
-        kept = stay.select(F.col("_node").alias("_a"))
-        gone = durable(edges.join(kept.hint("merge"), "_a", "left_semi").select(F.col("_b").alias("_node")).distinct(), "gone")
-        done = stay.union(gone)
+        if now.isEmpty():
+            break
+        # As a table, so that Spark may split the joins where a first row has many others.
+        pairs = durable(_pairs(now, sets, front), "pairs")
+        edges = durable(edges.union(_near(pairs, sets)), "edges")
+        late = now.where(F.col("_place") > front).select("_node").distinct()
+        gone, edges = _settled(edges, late, one_task)
+        lost = lost.union(gone)
+        # A row that is first in all its keys has met all others there: what is open is in ``edges``. Keys of at most ``front`` rows are done.
+        waits = F.max(F.col("_place") > front).over(W.partitionBy("_node"))
+        met = now.withColumn("_late", waits).where((F.col("_n") > front) & F.col("_late")).join(gone.hint("merge"), "_node", "left_anti").select("_key", "_node", (F.col("_place") <= front).alias("_asked"))
+        front *= max(2, small_group)
+    while not edges.isEmpty():
+        gone, edges = _settled(edges, none, one_task)
         lost = lost.union(gone)
-        undecided = durable(undecided.join(done.hint("merge"), "_node", "left_anti"), "undecided")
-        open_a, open_b = undecided.select(F.col("_node").alias("_a")), undecided.select(F.col("_node").alias("_b"))
-        edges = durable(edges.join(open_a.hint("merge"), "_a", "left_semi").join(open_b.hint("merge"), "_b", "left_semi").select("_a", "_b"), "edges")
-        # Keys of at most ``front`` rows are done: all their pairs are known.
-        met = now.where(F.col("_n") > front).select("_key", "_node", (F.col("_place") <= front).alias("_asked")).join(undecided.hint("merge"), "_node", "left_semi").select("_key", "_node", "_asked")
-        front = small_group if front == 1 else front * 4
     return lost
 
 

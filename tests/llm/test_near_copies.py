@@ -95,3 +95,28 @@ def test_pairs_at_the_threshold_share_a_block(union):
         cut = both + r.integers(0, union - both + 1)
         a, b = np.sort(h[:cut]), np.sort(np.concatenate([h[:both], h[cut:]]))
         assert near_copies.similar(a, b) and set(near_copies.blocks(a)) & set(near_copies.blocks(b))
+
+
+@pytest.mark.parametrize("one_task", [near_copies.ONE_TASK, 3])
+def test_pairs_settled_in_one_task_or_in_joins(spark, rows, one_task):
+    docs = table(spark, rows)
+    keys = near_copies._keys(docs, "doc_id", "text")
+    met = keys.selectExpr("_node", "explode(_keys) AS _key").select("_key", "_node").distinct()
+    sets = near_copies._sets(docs.select(near_copies._row(docs, "doc_id", "text").alias("_node"), docs.text.alias("_text")))
+    gone = [r["_node"]["id"] for r in near_copies._lost(met, sets, 4, one_task).collect()]
+    assert len(gone) == len(set(gone)) and sorted(gone) == sorted({i for i, _ in rows} - {i for i, _ in brute(rows)})
+
+
+def test_pairs_below_the_threshold_are_seldom_looked_at():
+    """Of pairs at 0.66, which one group of much alike rows has by the square of its number, few pass the sketch."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+
+    def passes(both, own):
+        h = r.integers(0, 2**64, size=both + 2 * own, dtype=np.uint64)
+        x, y = (np.array(near_copies.sketch(np.sort(np.concatenate([h[:both], part])))[1 : 1 + len(near_copies._SEEDS)]) for part in (h[both : both + own], h[both + own :]))
+        return np.bitwise_count((x ^ y).view(np.uint64)).sum() <= near_copies.SKETCH_BITS
+
+    assert sum(passes(116, 30) for _ in range(100)) <= 10
+    assert all(passes(130, 16) for _ in range(100))
